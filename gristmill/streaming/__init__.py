@@ -1,0 +1,6 @@
+"""Intentionally empty.
+
+Every capability of the engine is a batch job: profiles, feature tables and
+the append-only experiment journal are all read as bounded tables, so there is
+no watermark, window or keyed state to maintain.
+"""

@@ -97,7 +97,7 @@ def infer_csv_schema(spark: SparkSession, files: Sequence[str]) -> T.StructType:
     checks = [F.lit(True)]
     for i, name in enumerate(head.columns):
         value = _present(F.col(quoted(name)))
-        checks += [F.bool_and(test(value)).alias(f"{kind}{i}") for kind, test in fits.items()]
+        checks += [F.bool_and(F.when(value.isNotNull(), test(value))).alias(f"{kind}{i}") for kind, test in fits.items()]
     seen = head.agg(*checks).first()
     types = {"bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
     fields = []

@@ -35,38 +35,36 @@ def nested_categorical(summary: DataFrame, top: DataFrame) -> DataFrame:
 
 def write_profile_json(
     directory: str,
-    num: DataFrame,
-    cat: tuple[DataFrame, DataFrame],
+    num: DataFrame | None = None,
+    cat: tuple[DataFrame, DataFrame] | None = None,
     cross: DataFrame | None = None,
     medians: DataFrame | None = None,
 ) -> None:
     """JSON lines: one per numeric feature, one per categorical feature with its
     top values, one per kept value pair, one per feature and group. Pairs and
     groups grow with the data, so they are never folded into one document."""
-    num.write.mode("overwrite").json(f"{directory}/{NUM}")
-    nested_categorical(*cat).write.mode("overwrite").json(f"{directory}/{CAT}")
-    if cross is not None:
-        cross.write.mode("overwrite").json(f"{directory}/{CROSS}")
-    if medians is not None:
-        medians.write.mode("overwrite").json(f"{directory}/{MEDIANS}")
+    nested = None if cat is None else nested_categorical(*cat)
+    for name, part in ((NUM, num), (CAT, nested), (CROSS, cross), (MEDIANS, medians)):
+        if part is not None:
+            part.write.mode("overwrite").json(f"{directory}/{name}")
 
 
 def read_profile(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
-    """The written profile; cross distribution and medians may be absent (empty)."""
+    """The written profile; a part that was not written is an empty table."""
 
-    def optional(name: str, schema: str) -> DataFrame:
+    def part(name: str, schema: str) -> DataFrame:
         try:
             return spark.read.schema(schema).json(f"{directory}/{name}")
         except AnalysisException:
             return spark.createDataFrame([], schema)
 
-    cat = spark.read.schema(_CAT).json(f"{directory}/{CAT}")
+    cat = part(CAT, _CAT)
     return {
-        "num": spark.read.schema(_NUM).json(f"{directory}/{NUM}"),
+        "num": part(NUM, _NUM),
         "cat": cat.drop("top_values"),
         "top": cat.select("feature", F.inline("top_values")),
-        "cross": optional(CROSS, _CROSS),
-        "medians": optional(MEDIANS, _MEDIANS),
+        "cross": part(CROSS, _CROSS),
+        "medians": part(MEDIANS, _MEDIANS),
     }
 
 

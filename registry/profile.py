@@ -56,17 +56,14 @@ def row_count(spark, d):
     return reduce(DataFrame.unionByName, parts)
 
 
-def value_counts(spark, d):
-    return text_counts(gaps(spark, d), LINE_CAT).select("feature", "value", F.col("n").alias("n_rows"))
-
-
-def _as_text(df):
-    # timestamps are told apart by their epoch second, which both engines print alike
-    return df.withColumn("l_shipdate", F.unix_seconds(F.col("l_shipdate").cast("timestamp")))
-
-
 def _line_text(spark, d):
-    return _as_text(gaps(spark, d)).withColumn("l_quantity", F.col("l_quantity").cast("int"))
+    # dates as epoch seconds and quantities as whole numbers: both engines print those alike
+    return gaps(spark, d).withColumns(
+        {
+            "l_shipdate": F.unix_seconds(F.col("l_shipdate").cast("timestamp")),
+            "l_quantity": F.col("l_quantity").cast("int"),
+        }
+    )
 
 
 _LINE_TEXT_SQL = f"""select * replace (epoch(l_shipdate)::bigint as l_shipdate, l_quantity::int as l_quantity)
@@ -79,7 +76,7 @@ _BASE_SQL = f"""select feature, sum(n)::bigint as total_rows,
     from (select feature, value, count(*) as n from ({_LINE_LONG_SQL}) group by all) group by feature"""
 
 
-def value_counts_all(spark, d):
+def value_counts(spark, d):
     return text_counts(_line_text(spark, d), LINE_CAT).select("feature", "value", F.col("n").alias("n_rows"))
 
 
@@ -150,7 +147,7 @@ QUERIES = {
     "num_plain_stats": num_plain_stats,
     "num_ratios": num_ratios,
     "row_count": row_count,
-    "value_counts": value_counts_all,
+    "value_counts": value_counts,
     "cat_base_stats": cat_base_stats,
     "cat_topn_coverage": cat_topn_coverage,
     "cat_profile": cat_profile,

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.operators.counts import COLUMNS_PER_SCAN, text_counts
+from gristmill.operators.counts import text_counts
 
 # The limits of the top-value table.
 MAX_ITEMS = 1000
@@ -61,7 +61,7 @@ def cat_profile(
     df: DataFrame,
     columns: Sequence[str],
     max_distinct: int = MAX_DISTINCT,
-    columns_per_scan: int = COLUMNS_PER_SCAN,
+    columns_per_scan: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """``(summary, top)``: one row per column, and its kept values."""
     counts = text_counts(df, columns, columns_per_scan)

@@ -18,12 +18,16 @@ from pyspark.sql import types as T
 
 from gristmill.functions.roles import quoted
 
-#: Columns unpivoted per pass. Unpivoting multiplies rows by the number of
-#: columns before the map-side aggregation; very wide tables run in slices.
-COLUMNS_PER_SCAN = 32
+#: A scan is cut into at most this many column slices of at least this many
+#: columns. Unpivoting multiplies rows by the slice's width before the map-side
+#: aggregation, so narrow slices keep that table small; each reads only its own
+#: columns. The number of slices is bounded because each has tasks of its own.
+MAX_SLICES = 8
+MIN_SLICE = 4
 
 
-def _slices(columns: Sequence[str], size: int) -> Iterable[list[str]]:
+def _slices(columns: Sequence, size: int | None) -> Iterable[list]:
+    size = size or max(MIN_SLICE, -(-len(columns) // MAX_SLICES))
     for start in range(0, len(columns), size):
         yield list(columns[start : start + size])
 
@@ -33,32 +37,33 @@ def name_of(columns: Sequence[str], fid: Column) -> Column:
     return F.element_at(F.array(*[F.lit(c) for c in columns]), fid + 1)
 
 
-def _tall(df: DataFrame, columns: Sequence[str], by: Sequence[str], offset: int, cells) -> DataFrame:
+def _tall(df: DataFrame, numbered: Sequence[tuple[int, str]], by: Sequence[str], cells) -> DataFrame:
     """Unpivot with a number, not a name, per feature: it is a grouping key."""
-    row: list[Column] = []
-    for position, name in enumerate(columns):
-        row += [F.lit(position + offset), *cells(name)]
-    width = len(row) // len(columns)
-    names = ["fid", *[f"v{i}" for i in range(width - 1)]]
-    keys = [F.col(quoted(k)).cast("string").alias(f"k{i}") for i, k in enumerate(by)]
-    return df.select(*keys, F.stack(F.lit(len(columns)), *row).alias(*names))
+    rows = [", ".join([str(number), *cells(quoted(name))]) for number, name in numbered]
+    width = len(cells("x"))
+    keys = [f"cast({quoted(k)} as string) as k{i}" for i, k in enumerate(by)]
+    names = ", ".join(["fid", *[f"v{i}" for i in range(width)]])
+    return df.selectExpr(*keys, f"stack({len(rows)}, {', '.join(rows)}) as ({names})")
 
 
-def text_counts(df: DataFrame, columns: Sequence[str], columns_per_scan: int = COLUMNS_PER_SCAN) -> DataFrame:
+def text_counts(df: DataFrame, columns: Sequence[str], columns_per_scan: int | None = None) -> DataFrame:
     """Rows ``(feature, value, n)`` with values as strings; null is a row of its own."""
     parts = []
-    for part in _slices(columns, columns_per_scan):
-        tall = _tall(df, part, (), 0, lambda c: [F.col(quoted(c)).cast("string")])
-        counted = tall.groupBy("fid", "v0").agg(F.count(F.lit(1)).alias("n"))
-        parts.append(counted.select(F.coalesce(name_of(part, F.col("fid")), F.lit("")).alias("feature"), F.col("v0").alias("value"), "n"))
-    return reduce(DataFrame.unionByName, parts)
+    for part in _slices(list(enumerate(columns)), columns_per_scan):
+        tall = _tall(df, part, (), lambda c: [f"cast({c} as string)"])
+        parts.append(tall.groupBy("fid", "v0").agg(F.count(F.lit(1)).alias("n")))
+    name = F.coalesce(name_of(columns, F.col("fid")), F.lit(""))
+    return reduce(DataFrame.union, parts).select(name.alias("feature"), F.col("v0").alias("value"), "n")
+
+
+def _slot_type(kind: T.DataType) -> str:
+    if isinstance(kind, T.DecimalType):
+        return kind.simpleString()
+    return "double" if isinstance(kind, (T.FloatType, T.DoubleType)) else "bigint"
 
 
 def number_counts(
-    df: DataFrame,
-    columns: Sequence[str],
-    by: Sequence[str] = (),
-    columns_per_scan: int = COLUMNS_PER_SCAN,
+    df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), columns_per_scan: int | None = None
 ) -> DataFrame:
     """Rows ``(*k0.., fid, missing, x, n)`` for numeric columns.
 
@@ -67,35 +72,24 @@ def number_counts(
     would merge distinct ids; ``x`` is the value as a double. ``k0..`` are the
     ``by`` columns as strings.
     """
-    schema = df.schema
-
-    def slot_type(name: str) -> str:
-        kind = schema[name].dataType
-        if isinstance(kind, T.DecimalType):
-            return kind.simpleString()
-        return "double" if isinstance(kind, (T.FloatType, T.DoubleType)) else "bigint"
-
+    types = {f.name: _slot_type(f.dataType) for f in df.schema}
+    keys = [f"k{i}" for i in range(len(by))]
     parts = []
-    for number, part in enumerate(_slices(columns, columns_per_scan)):
-        slots = sorted({slot_type(c) for c in part})
+    # columns of one type lie together, so most slices need a single slot
+    for part in _slices(sorted(enumerate(columns), key=lambda item: types[item[1]]), columns_per_scan):
+        slots = sorted({types[name] for _, name in part})
 
-        def cells(name: str, slots=slots) -> list[Column]:
-            own = slot_type(name)
-            return [(F.col(quoted(name)) if s == own else F.lit(None)).cast(s) for s in slots]
+        def cells(name: str, slots=slots) -> list[str]:
+            own = types.get(name[1:-1].replace("``", "`"))
+            return [f"cast({name if s == own else 'null'} as {s})" for s in slots]
 
-        tall = _tall(df, part, by, number * columns_per_scan, cells)
-        keys = [f"k{i}" for i in range(len(by))]
         values = [f"v{i}" for i in range(len(slots))]
-        x = F.coalesce(*[F.col(v).cast("double") for v in values])
+        x = f"coalesce({', '.join(f'cast({v} as double)' for v in values)})"
+        counted = _tall(df, part, by, cells).groupBy(*keys, "fid", *values).agg(F.count(F.lit(1)).alias("n"))
+        # `fid` and `x` are made non-null: no null check on them can slip below the aggregation
         parts.append(
-            tall.groupBy(*keys, "fid", *values)
-            .agg(F.count(F.lit(1)).alias("n"))
-            .select(
-                *keys,
-                F.coalesce("fid", F.lit(-1)).alias("fid"),
-                x.isNull().alias("missing"),
-                F.coalesce(x, F.lit(0.0)).alias("x"),
-                "n",
+            counted.selectExpr(
+                *keys, "coalesce(fid, -1) as fid", f"{x} is null as missing", f"coalesce({x}, 0D) as x", "n"
             )
         )
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.union, parts)

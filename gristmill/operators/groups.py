@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions.roles import quoted
-from gristmill.operators.counts import COLUMNS_PER_SCAN, name_of, number_counts
+from gristmill.operators.counts import name_of, number_counts
 from gristmill.operators.quantiles import locate
 
 
@@ -17,7 +17,7 @@ def group_medians(
     columns: Sequence[str],
     group: str,
     keep_empty: bool = True,
-    columns_per_scan: int = COLUMNS_PER_SCAN,
+    columns_per_scan: int | None = None,
 ) -> DataFrame:
     """``(feature, group, median)`` for every column and every non-null group.
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions.roles import quoted
-from gristmill.operators.counts import COLUMNS_PER_SCAN, name_of, number_counts
+from gristmill.operators.counts import name_of, number_counts
 from gristmill.operators.quantiles import Located, locate
 
 # The reported quantiles and their names.
@@ -21,75 +21,50 @@ PROFILE_COLUMNS = [
 ]
 
 
-def _locate(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], columns_per_scan: int) -> Located:
+def _locate(
+    df: DataFrame,
+    columns: Sequence[str],
+    probabilities: Sequence[float],
+    columns_per_scan: int | None,
+    moments: bool = False,
+) -> Located:
     counts = number_counts(df, columns, columns_per_scan=columns_per_scan)
-    return locate(counts, ["fid"], probabilities, few_keys=True)
+    return locate(counts, ["fid"], probabilities, few_keys=True, moments=moments)
 
 
 def _named(result: DataFrame, columns: Sequence[str]) -> DataFrame:
     return result.withColumn("feature", name_of(columns, F.col("fid"))).drop("fid")
 
 
-def _weighted_moments(counts: DataFrame, bounds: DataFrame, inside: Column) -> DataFrame:
-    """Mean and sample deviation over the value counts that satisfy ``inside``.
-
-    ``bounds`` has one row per feature, so broadcasting it is bounded by the
-    schema. Sums are taken around ``centre``, which keeps a large offset from
-    drowning the spread.
-    """
-    n = F.when(inside & ~F.col("missing"), F.col("n"))
-    away = F.col("x") - F.col("centre")
-    sums = (
-        counts.join(F.broadcast(bounds), "fid")
-        .groupBy("fid")
-        .agg(
-            F.sum(n).alias("k"),
-            F.first("centre").alias("centre"),
-            F.sum(away * n).alias("s1"),
-            F.sum(away * away * n).alias("s2"),
-        )
-    )
-    spread = F.greatest(F.col("s2") - F.col("s1") * F.col("s1") / F.col("k"), F.lit(0.0))
-    return sums.select(
-        "fid",
-        (F.col("centre") + F.col("s1") / F.col("k")).alias("mean"),
-        F.when(F.col("k") > 1, F.sqrt(spread / (F.col("k") - 1))).alias("std"),
-    )
-
-
 def _clipped(found: Located, marks: DataFrame) -> DataFrame:
     """Moments over the values inside ``[P1, P99]``, both ends included."""
-    bounds = marks.select("fid", "P1", "P99", F.col("P50").alias("centre"))
-    return _weighted_moments(found.counts, bounds, F.col("x").between(F.col("P1"), F.col("P99")))
+    return found.moments(marks.selectExpr("fid", "P1 as first", "P50 as centre", "P99 as last"))
 
 
 def _with_ratios(stats: DataFrame) -> DataFrame:
-    return (
-        stats.withColumn("median", F.col("P50"))
-        .withColumn("null_ratio", F.try_divide("null_count", "total_rows"))
-        .withColumn("zero_ratio", F.try_divide("zero_count", "total_rows"))
-        .select(*PROFILE_COLUMNS)
-    )
+    derived = {
+        "median": "P50",
+        "null_ratio": "try_divide(null_count, total_rows)",
+        "zero_ratio": "try_divide(zero_count, total_rows)",
+    }
+    return stats.selectExpr(*[f"{derived[c]} as {c}" if c in derived else c for c in PROFILE_COLUMNS])
 
 
-def num_profile(df: DataFrame, columns: Sequence[str], columns_per_scan: int = COLUMNS_PER_SCAN) -> DataFrame:
+def num_profile(df: DataFrame, columns: Sequence[str], columns_per_scan: int | None = None) -> DataFrame:
     """The full numeric profile. Ratios divide by all rows, nulls included."""
-    found = _locate(df, columns, QUANTILES, columns_per_scan)
+    found = _locate(df, columns, QUANTILES, columns_per_scan, moments=True)
     marks = found.quantiles(QUANTILES, QUANTILE_NAMES)
-    stats = found.with_summary(marks, _clipped(found, marks))
-    return _with_ratios(_named(stats, columns))
+    return _with_ratios(_named(found.with_summary(marks, _clipped(found, marks)), columns))
 
 
-def plain_stats(df: DataFrame, columns: Sequence[str], columns_per_scan: int = COLUMNS_PER_SCAN) -> DataFrame:
+def plain_stats(df: DataFrame, columns: Sequence[str], columns_per_scan: int | None = None) -> DataFrame:
     """The unclipped variant: mean and deviation over every value."""
-    found = _locate(df, columns, QUANTILES, columns_per_scan)
+    found = _locate(df, columns, QUANTILES, columns_per_scan, moments=True)
     marks = found.quantiles(QUANTILES, QUANTILE_NAMES)
-    bounds = marks.select("fid", F.col("P50").alias("centre"))
-    stats = found.with_summary(marks, _weighted_moments(found.counts, bounds, F.lit(True)))
-    return _with_ratios(_named(stats, columns))
+    return _with_ratios(_named(found.with_summary(marks, found.moments()), columns))
 
 
-def base_stats(df: DataFrame, columns: Sequence[str], columns_per_scan: int = COLUMNS_PER_SCAN) -> DataFrame:
+def base_stats(df: DataFrame, columns: Sequence[str], columns_per_scan: int | None = None) -> DataFrame:
     """Null count, distinct count (null is a value), extremes, zero count and
     median per column. NaN counts as a value but never as an extreme."""
     found = _locate(df, columns, [0.5], columns_per_scan)
@@ -104,7 +79,7 @@ def quantiles(
     columns: Sequence[str],
     probabilities: Sequence[float] = tuple(QUANTILES),
     names: Sequence[str] = tuple(QUANTILE_NAMES),
-    columns_per_scan: int = COLUMNS_PER_SCAN,
+    columns_per_scan: int | None = None,
 ) -> DataFrame:
     """Exact quantiles per column."""
     found = _locate(df, columns, probabilities, columns_per_scan)
@@ -112,9 +87,9 @@ def quantiles(
     return _named(stats, columns).select("feature", *names)
 
 
-def moments(df: DataFrame, columns: Sequence[str], columns_per_scan: int = COLUMNS_PER_SCAN) -> DataFrame:
+def moments(df: DataFrame, columns: Sequence[str], columns_per_scan: int | None = None) -> DataFrame:
     """Outlier-clipped mean and deviation per column."""
-    found = _locate(df, columns, [0.01, 0.5, 0.99], columns_per_scan)
+    found = _locate(df, columns, [0.01, 0.5, 0.99], columns_per_scan, moments=True)
     marks = found.quantiles([0.01, 0.5, 0.99], ["P1", "P50", "P99"])
     stats = found.with_summary(_clipped(found, marks))
     return _named(stats, columns).select("feature", "mean", "std")

@@ -6,16 +6,20 @@ task. Here the answer is located in narrowing steps over value counts:
 1. a coarse bucket, a monotone function of the value (1,024 buckets per power
    of two), is counted per key; running totals say which buckets hold the
    wanted ranks;
-2. only those buckets are split again, into 65,536 equal steps between their
-   own least and greatest value, and counted again;
+2. the values of those buckets alone, about a thousandth of the value counts,
+   are shuffled by 65,536 equal steps between their bucket's least and greatest
+   value, and counted per step;
 3. only the steps that hold a wanted rank are ordered by value.
 
-Every count is a map-side-combined aggregation, so no task ever holds more
-than the bucket table of one key or the distinct values of one tiny step.
+No task ever holds more than the bucket table of one key or the distinct values
+of one tiny step. The value counts are read twice, once per bucket table and
+once for the chosen buckets; moments over a range come from bucket sums plus
+the values of the two buckets at its ends.
 
-The value counts are read several times in one plan. All readers ask for the
-same columns and put no filter on them, so Spark shuffles them once and serves
-the rest from that exchange; ``tests/test_plans.py`` holds the plan to that.
+Readers of one shuffle ask for the same columns and put no filter below it, so
+that Spark runs it once and serves the others from it. Where a reader has no use
+for a column, an always-true condition names it; ``tests/test_plans.py`` holds
+the plan to one scan.
 """
 
 from __future__ import annotations
@@ -23,59 +27,65 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 STEPS_PER_OCTAVE = 1024
 FINE_STEPS = 65536
 # log2 of a double lies in [-1074, 1024]; infinity and NaN are held at 1100.
-_LOG_CEILING = 1100.0
+_LOG_CEILING = 1100
 _SHIFT = 1_200_000
-_TOP = int(_LOG_CEILING) * STEPS_PER_OCTAVE + _SHIFT
+_TOP = _LOG_CEILING * STEPS_PER_OCTAVE + _SHIFT
 _MISSING = -(2**40)
 
 
-def _coarse_bucket(x: Column, missing: Column) -> Column:
-    """Whole number that never decreases as ``x`` grows; missing values come first."""
-    size = F.floor(F.least(F.log2(F.abs(x)), F.lit(_LOG_CEILING)) * STEPS_PER_OCTAVE) + F.lit(_SHIFT)
-    bucket = F.when(missing, F.lit(_MISSING)).when(x == 0, F.lit(0)).when(x > 0, size).otherwise(-size)
-    return F.coalesce(bucket, F.lit(_MISSING))
+def _bucket_of(x: str) -> str:
+    """Whole number that never decreases as ``x`` grows."""
+    size = f"floor(least(log2(abs({x})), {_LOG_CEILING}D) * {STEPS_PER_OCTAVE}) + {_SHIFT}"
+    return f"case when {x} = 0 then 0 when {x} > 0 then {size} else -({size}) end"
 
 
-def _fine_step(x: Column, low: Column, high: Column, bucket: Column) -> Column:
-    step = F.floor((x - low) / (high - low) * FINE_STEPS)
-    return F.coalesce(F.when((F.abs(bucket) != _TOP) & (high > low), step), F.lit(0).cast("bigint"))
+# A value inside (or at the edge of) a bucket, from the bucket alone.
+_CENTRE = f"""case when bucket = 0 or abs(bucket) >= {_TOP} then 0D
+    else signum(bucket) * pow(2D, (abs(bucket) - {_SHIFT}) / {STEPS_PER_OCTAVE}D) end"""
 
+_STEP = f"""coalesce(case when abs(bucket) <> {_TOP} and high > low
+    then floor((x - low) / (high - low) * {FINE_STEPS}) end, 0L)"""
 
-def _ranks_inside(ranks: Column, end: Column, rows: Column) -> Column:
-    return F.filter(ranks, lambda r: (r >= end - rows) & (r < end))
 
+def _inside(ranks: str, end: str, rows: str) -> str:
+    return f"filter({ranks}, r -> r >= {end} - {rows} and r < {end})"
 
-def _position(valid: Column, probability: float) -> Column:
-    return F.lit(float(probability)) * (valid - 1).cast("double")
+
+def _wanted(probabilities: Sequence[float]) -> str:
+    ranks = [f"cast({side}({float(p)!r}D * (valid - 1)) as bigint)" for p in probabilities for side in ("floor", "ceil")]
+    return f"array_distinct(array({', '.join(ranks)}))"
 
 
 @dataclass(frozen=True)
 class Located:
     """``summary`` has one row per key with its counts and extremes; ``picked``
-    maps the wanted ranks of each key that has values to those values."""
+    maps the wanted ranks of each key that has values to those values;
+    ``buckets`` and ``near`` are the bucket table and the values of the chosen
+    buckets."""
 
     keys: list[str]
-    counts: DataFrame
-    summary: DataFrame
-    picked: DataFrame
     few_keys: bool
+    buckets: DataFrame
+    near: DataFrame
+    picked: DataFrame
+    summary: DataFrame
 
     def quantiles(self, probabilities: Sequence[float], names: Sequence[str]) -> DataFrame:
         """``(*keys, <names>)``, linear interpolation; keys without values are absent."""
         columns = []
         for probability, name in zip(probabilities, names, strict=True):
-            position = _position(F.col("valid"), probability)
-            low = F.element_at("at", F.floor(position).cast("bigint"))
-            high = F.element_at("at", F.ceil(position).cast("bigint"))
-            between = low + (high - low) * (position - F.floor(position))
-            columns.append(F.when(low == high, low).otherwise(between).alias(name))
-        return self.picked.select(*self.keys, *columns)
+            place = f"({float(probability)!r}D * (valid - 1))"
+            low, high = (f"at[cast({side}({place}) as bigint)]" for side in ("floor", "ceil"))
+            columns.append(
+                f"case when {low} = {high} then {low} else {low} + ({high} - {low}) * ({place} - floor({place})) end as `{name}`"
+            )
+        return self.picked.selectExpr(*self.keys, *columns)
 
     def with_summary(self, *tables: DataFrame) -> DataFrame:
         """Every key of ``summary``, with the columns of ``tables`` or nulls."""
@@ -84,74 +94,137 @@ class Located:
             result = result.join(F.broadcast(table) if self.few_keys else table, self.keys, "left")
         return result
 
+    def moments(self, bounds: DataFrame | None = None) -> DataFrame:
+        """``(*keys, mean, std)`` of the values between ``bounds``, ends included
+        (of all values without bounds); needs ``locate(..., moments=True)``.
+
+        ``bounds`` has ``(*keys, first, centre, last)``, one row per key of a
+        few-keys profile, so it is broadcast. Whole buckets contribute their
+        sums, moved to ``centre``; the two end buckets contribute value by value.
+        """
+        if bounds is None:
+            open_end = "cast(null as double)"
+            centre = "element_at(map_values(at), 1) as centre"
+            bounds = self.picked.selectExpr(*self.keys, f"{open_end} as first", centre, f"{open_end} as last")
+            whole = f"bucket <> {_MISSING}"
+        else:
+            whole = f"bucket > {_bucket_of('first')} and bucket < {_bucket_of('last')} and bucket <> {_MISSING}"
+        shift = f"({_CENTRE} - centre)"
+        # conditions sit inside the sums: as a filter they would reach below the bucket shuffle
+        kept = f"({whole}) and distinct > 0 and (low is null or low <= high)"
+        full = self.buckets.join(F.broadcast(bounds), self.keys).selectExpr(
+            *self.keys,
+            "centre",
+            f"case when {kept} then rows end as k",
+            f"case when {kept} then s1 + rows * {shift} end as s1",
+            f"case when {kept} then s2 + 2 * {shift} * s1 + rows * {shift} * {shift} end as s2",
+        )
+        ends = (
+            self.near.join(F.broadcast(bounds), self.keys)
+            .groupBy(*self.keys)
+            .agg(
+                F.first("centre").alias("centre"),
+                *[
+                    F.expr(
+                        f"""sum(case when bucket in ({_bucket_of('first')}, {_bucket_of('last')}) and x between first and last
+                        and step >= 0 and before >= 0 and valid > 0 and size(ranks) > 0 then {term} end)"""
+                    ).alias(name)
+                    for name, term in (("k", "n"), ("s1", "n * (x - centre)"), ("s2", "n * (x - centre) * (x - centre)"))
+                ],
+            )
+        )
+        total = (
+            full.unionByName(ends)
+            .groupBy(*self.keys)
+            .agg(F.first("centre").alias("centre"), *[F.sum(c).alias(c) for c in ("k", "s1", "s2")])
+        )
+        return total.selectExpr(
+            *self.keys,
+            "centre + s1 / k as mean",
+            "case when k > 1 then sqrt(greatest(s2 - s1 * s1 / k, 0D) / (k - 1)) end as std",
+        )
+
 
-def locate(counts: DataFrame, keys: Sequence[str], probabilities: Sequence[float], few_keys: bool) -> Located:
+def locate(
+    counts: DataFrame, keys: Sequence[str], probabilities: Sequence[float], few_keys: bool, moments: bool = False
+) -> Located:
     """Find the values at the ranks that ``probabilities`` need.
 
     ``counts`` holds ``(*keys, missing, x, n)``. ``few_keys`` states that the
     number of keys is bounded by the schema (one per column), which bounds the
-    located buckets and lets them be broadcast; otherwise Spark picks the join
+    chosen buckets and lets them be broadcast; otherwise Spark picks the join
     from the sizes it measures.
     """
     keys = list(keys)
+    names = ", ".join(keys)
     small = F.broadcast if few_keys else (lambda d: d)
-    bucketed = counts.withColumn("bucket", _coarse_bucket(F.col("x"), F.col("missing")))
-
-    real = F.when(~F.col("missing") & ~F.isnan("x"), F.col("x"))
-    buckets = bucketed.groupBy(*keys, "bucket").agg(
-        F.sum("n").alias("rows"),
-        F.count(F.lit(1)).alias("distinct"),
-        F.min(real).alias("low"),
-        F.max(real).alias("high"),
-    )
-    running = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    everything = Window.partitionBy(*keys)
-    weight = F.when(F.col("bucket") != _MISSING, F.col("rows")).otherwise(F.lit(0))
-    placed = (
-        buckets.withColumn("weight", weight)
-        .withColumn("end", F.sum("weight").over(running))
-        .withColumn("valid", F.sum("weight").over(everything))
+    bucketed = counts.selectExpr(
+        *keys, "missing", "x", "n", f"coalesce(case when missing then {_MISSING}L else {_bucket_of('x')} end, {_MISSING}L) as bucket"
     )
-    exact = [_position(F.col("valid"), p) for p in probabilities]
-    wanted = F.array_distinct(F.array(*[side(p).cast("bigint") for p in exact for side in (F.floor, F.ceil)]))
+    real = "case when not missing and not isnan(x) then x end"
+    sums = [f"sum(n * (x - {_CENTRE})) as s1", f"sum(n * (x - {_CENTRE}) * (x - {_CENTRE})) as s2"] if moments else []
+    measures = ["sum(n) as rows", "count(1) as distinct", f"min({real}) as low", f"max({real}) as high", *sums]
+    buckets = bucketed.groupBy(*keys, "bucket").agg(*[F.expr(m) for m in measures])
+    used = "rows >= distinct" + (" and (rows > 0 or s1 + s2 is null)" if moments else "")
+
+    weight = f"case when bucket <> {_MISSING} then rows else 0L end"
     hits = (
-        placed.withColumn("ranks", _ranks_inside(wanted, F.col("end"), F.col("weight")))
-        .where((F.size("ranks") > 0) & (F.col("rows") >= F.col("distinct")))
-        .select(*keys, "bucket", (F.col("end") - F.col("weight")).alias("before"), "valid", "ranks", "low", "high")
+        buckets.selectExpr(
+            "*",
+            f"{weight} as weight",
+            f"sum({weight}) over (partition by {names} order by bucket rows unbounded preceding) as end",
+            f"sum({weight}) over (partition by {names}) as valid",
+        )
+        .selectExpr("*", f"{_inside(_wanted(probabilities), 'end', 'weight')} as ranks")
+        .where(f"size(ranks) > 0 and {used}")
+        .selectExpr(*keys, "bucket", "end - weight as before", "valid", "ranks", "low", "high")
     )
-    near = bucketed.join(small(hits), [*keys, "bucket"]).withColumn(
-        "step", _fine_step(F.col("x"), F.col("low"), F.col("high"), F.col("bucket"))
+    near = (
+        bucketed.join(small(hits), [*keys, "bucket"])
+        .selectExpr(*keys, "bucket", f"{_STEP} as step", "x", "n", "before", "valid", "ranks")
+        .repartition(*keys, "bucket", "step")
     )
-    by_step = Window.partitionBy(*keys, "bucket").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     steps = (
         near.groupBy(*keys, "bucket", "step")
         .agg(
             F.sum("n").alias("weight"),
-            F.first("before").alias("before"),
-            F.first("valid").alias("valid"),
-            F.first("ranks").alias("ranks"),
+            *[F.first(c).alias(c) for c in ("before", "valid", "ranks")],
+            F.min("x").alias("low"),
+            F.max("x").alias("high"),
+        )
+        .selectExpr(
+            "*",
+            f"sum(weight) over (partition by {names}, bucket order by step rows unbounded preceding) - weight as offset",
         )
-        .withColumn("offset", F.sum("weight").over(by_step) - F.col("weight"))
-        .withColumn("end", F.col("before") + F.col("offset") + F.col("weight"))
-        .where((F.col("end") <= F.col("valid")) & (F.size(_ranks_inside(F.col("ranks"), F.col("end"), F.col("weight"))) > 0))
+        .where(f"low <= high and valid > 0 and size({_inside('ranks', '(before + offset + weight)', 'weight')}) > 0")
         .select(*keys, "bucket", "step", "offset")
     )
-    by_value = Window.partitionBy(*keys, "bucket", "step").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     picked = (
         near.join(small(steps), [*keys, "bucket", "step"])
-        .withColumn("end", F.col("before") + F.col("offset") + F.sum("n").over(by_value))
-        .select(*keys, "valid", "x", F.explode(_ranks_inside(F.col("ranks"), F.col("end"), F.col("n"))).alias("rank"))
+        .selectExpr(
+            *keys, "valid", "x", "n", "ranks",
+            f"before + offset + sum(n) over (partition by {names}, bucket, step order by x rows unbounded preceding) as end",
+        )
+        .selectExpr(*keys, "valid", "x", f"explode({_inside('ranks', 'end', 'n')}) as rank")
         .groupBy(*keys)
-        .agg(F.first("valid").alias("valid"), F.map_from_entries(F.collect_list(F.struct("rank", "x"))).alias("at"))
-    )
-    none, zero = F.col("bucket") == _MISSING, F.col("bucket") == 0
-    summary = placed.groupBy(*keys).agg(
-        F.sum("rows").alias("total_rows"),
-        F.max("end").alias("valid"),
-        F.coalesce(F.sum(F.when(none, F.col("rows"))), F.lit(0)).alias("null_count"),
-        F.sum("distinct").alias("nunique"),
-        F.min("low").alias("min"),
-        F.max("high").alias("max"),
-        F.coalesce(F.sum(F.when(zero, F.col("rows"))), F.lit(0)).alias("zero_count"),
+        .agg(F.first("valid").alias("valid"), F.expr("map_from_entries(collect_list(struct(rank, x)))").alias("at"))
+    )
+    summary = (
+        buckets.groupBy(*keys)
+        .agg(
+            *[
+                F.expr(e)
+                for e in (
+                    "sum(rows) as total_rows",
+                    f"coalesce(sum(case when bucket = {_MISSING} then rows end), 0L) as null_count",
+                    "sum(distinct) as nunique",
+                    "min(low) as min",
+                    "max(high) as max",
+                    "coalesce(sum(case when bucket = 0 then rows end), 0L) as zero_count",
+                    *(["sum(case when rows > 0 then 0D else s1 + s2 end) as spare"] if moments else []),
+                )
+            ]
+        )
+        .where("total_rows >= nunique and (min is null or min <= max)" + (" and spare = 0" if moments else ""))
     )
-    return Located(keys, counts, summary, picked, few_keys)
+    return Located(keys, few_keys, buckets, near, picked, summary)

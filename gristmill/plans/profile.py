@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gristmill.functions.roles import Roles, profile_roles, select_features
 from gristmill.operators import categorical, cross, groups, numeric
-from gristmill.operators.counts import COLUMNS_PER_SCAN
 from gristmill.sources import files
 
 
@@ -32,7 +31,7 @@ def summarize(
     force_categorical: Sequence[str] | None = None,
     group: str | None = None,
     cross_pairs: Sequence[Sequence[str]] = (),
-    columns_per_scan: int = COLUMNS_PER_SCAN,
+    columns_per_scan: int | None = None,
 ) -> Profile:
     table = select_features(df, features, exclude)
     roles = profile_roles(table, force_categorical)

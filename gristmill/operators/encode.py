@@ -105,9 +105,12 @@ def encode_apply(
 
 def standardize_apply(df: DataFrame, params: DataFrame, columns: Sequence[str], suffix: str = "_std") -> DataFrame:
     """``(x - mean) / std`` with the parameters of a profile."""
-    held = df.withColumn("_mean", one_row(params, columns, "mean")).withColumn("_dev", one_row(params, columns, "std"))
+    wanted = [(c, part) for c in columns for part in ("mean", "std")]
+    held = df.withColumn("_fit", one_row(params, wanted))
     scaled = [
-        F.try_divide(F.col(quoted(c)).cast("double") - F.col("_mean")[f"f{i}"], F.col("_dev")[f"f{i}"]).alias(c + suffix)
+        F.try_divide(
+            F.col(quoted(c)).cast("double") - F.col("_fit")[f"c{2 * i}"], F.col("_fit")[f"c{2 * i + 1}"]
+        ).alias(c + suffix)
         for i, c in enumerate(columns)
     ]
     return held.select(*[quoted(c) for c in df.columns], *scaled)
@@ -115,13 +118,13 @@ def standardize_apply(df: DataFrame, params: DataFrame, columns: Sequence[str],
 
 def fillna_apply(df: DataFrame, fills: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Fill ``columns`` from a fill map (values kept as text, cast to the column)."""
-    held = df.withColumn("_fill", one_row(fills, columns, "fill_value"))
+    held = df.withColumn("_fill", one_row(fills, [(c, "fill_value") for c in columns]))
     cells = []
     for name in df.columns:
         c = F.col(quoted(name))
         if name in columns:
             # a median of a whole-number column may have a fraction
             kind = "string" if df.schema[name].dataType.typeName() == "string" else "double"
-            c = F.coalesce(c.cast(kind), F.col("_fill")[f"f{list(columns).index(name)}"].cast(kind))
+            c = F.coalesce(c.cast(kind), F.col("_fill")[f"c{list(columns).index(name)}"].cast(kind))
         cells.append(c.alias(name))
     return held.select(*cells)

@@ -48,37 +48,30 @@ def fit(train: DataFrame, columns: Sequence[str]) -> DataFrame:
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def one_row(table: DataFrame, columns: Sequence[str], field: str) -> Column:
-    """A per-feature column of a small table as one struct value, ``f0, f1, ...``.
+def one_row(table: DataFrame, wanted: Sequence[tuple[str, str]]) -> Column:
+    """Cells of a small per-feature table as one struct value ``c0, c1, ...``.
 
-    It is a scalar subquery: computed once, then a constant of the scan.
+    ``wanted`` names ``(feature, column)`` cells. It is a scalar subquery:
+    computed once, then a constant of the scan.
     """
-    fields = [F.max(F.when(F.col("feature") == c, F.col(field))).alias(f"f{i}") for i, c in enumerate(columns)]
-    wide = table.agg(*fields)
-    return wide.select(F.struct(*[f"f{i}" for i in range(len(columns))])).scalar()
+    cells = [F.max(F.when(F.col("feature") == f, F.col(c))).alias(f"c{i}") for i, (f, c) in enumerate(wanted)]
+    return table.agg(*cells).select(F.struct(*[f"c{i}" for i in range(len(wanted))])).scalar()
 
 
 def apply(df: DataFrame, fitted: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Fill ``columns`` with the fitted values; numeric ones become doubles.
     A column that was all null in train has no fill value and stays as it is."""
     roles = imputation_roles(df.select(*[quoted(c) for c in columns]))
-    holder = df
-    if roles.numeric:
-        holder = holder.withColumn("_medians", one_row(fitted, roles.numeric, "number"))
-    if roles.categorical:
-        holder = holder.withColumn("_modes", one_row(fitted, roles.categorical, "text"))
+    wanted = [(c, "number") for c in roles.numeric] + [(c, "text") for c in roles.categorical]
+    place = {name: f"c{i}" for i, (name, _) in enumerate(wanted)}
     filled = []
     for name in df.columns:
         c = F.col(quoted(name))
-        if name in roles.numeric:
-            value = F.coalesce(c.cast("double"), F.col("_medians")[f"f{roles.numeric.index(name)}"])
-        elif name in roles.categorical:
-            own = df.schema[name].dataType
-            value = F.coalesce(c, F.col("_modes")[f"f{roles.categorical.index(name)}"].cast(own))
-        else:
-            value = c
-        filled.append(value.alias(name))
-    return holder.select(*filled)
+        if name in place:
+            own = "double" if name in roles.numeric else df.schema[name].dataType
+            c = F.coalesce(c.cast(own), F.col("_fit")[place[name]].cast(own))
+        filled.append(c.alias(name))
+    return df.withColumn("_fit", one_row(fitted, wanted)).select(*filled)
 
 
 def row_mean(df: DataFrame, columns: Sequence[str], output: str = "row_mean") -> DataFrame:

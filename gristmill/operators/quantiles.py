@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -102,13 +103,12 @@ class Located:
         few-keys profile, so it is broadcast. Whole buckets contribute their
         sums, moved to ``centre``; the two end buckets contribute value by value.
         """
-        if bounds is None:
-            open_end = "cast(null as double)"
-            centre = "element_at(map_values(at), 1) as centre"
-            bounds = self.picked.selectExpr(*self.keys, f"{open_end} as first", centre, f"{open_end} as last")
-            whole = f"bucket <> {_MISSING}"
+        bounded = bounds is not None
+        whole = f"bucket <> {_MISSING}"
+        if bounded:
+            whole += f" and bucket > {_bucket_of('first')} and bucket < {_bucket_of('last')}"
         else:
-            whole = f"bucket > {_bucket_of('first')} and bucket < {_bucket_of('last')} and bucket <> {_MISSING}"
+            bounds = self.picked.selectExpr(*self.keys, "element_at(map_values(at), 1) as centre")
         shift = f"({_CENTRE} - centre)"
         # conditions sit inside the sums: as a filter they would reach below the bucket shuffle
         kept = f"({whole}) and distinct > 0 and (low is null or low <= high)"
@@ -119,22 +119,16 @@ class Located:
             f"case when {kept} then s1 + rows * {shift} end as s1",
             f"case when {kept} then s2 + 2 * {shift} * s1 + rows * {shift} * {shift} end as s2",
         )
-        ends = (
-            self.near.join(F.broadcast(bounds), self.keys)
-            .groupBy(*self.keys)
-            .agg(
-                F.first("centre").alias("centre"),
-                *[
-                    F.expr(
-                        f"""sum(case when bucket in ({_bucket_of('first')}, {_bucket_of('last')}) and x between first and last
-                        and step >= 0 and before >= 0 and valid > 0 and size(ranks) > 0 then {term} end)"""
-                    ).alias(name)
-                    for name, term in (("k", "n"), ("s1", "n * (x - centre)"), ("s2", "n * (x - centre) * (x - centre)"))
-                ],
-            )
-        )
+        parts = [full]
+        if bounded:
+            at_edge = f"""bucket in ({_bucket_of('first')}, {_bucket_of('last')}) and x between first and last
+                and step >= 0 and before >= 0 and valid > 0 and size(ranks) > 0"""
+            terms = {"k": "n", "s1": "n * (x - centre)", "s2": "n * (x - centre) * (x - centre)"}
+            ends = self.near.join(F.broadcast(bounds), self.keys).groupBy(*self.keys)
+            sums = [F.expr(f"sum(case when {at_edge} then {term} end)").alias(name) for name, term in terms.items()]
+            parts.append(ends.agg(F.first("centre").alias("centre"), *sums))
         total = (
-            full.unionByName(ends)
+            reduce(DataFrame.unionByName, parts)
             .groupBy(*self.keys)
             .agg(F.first("centre").alias("centre"), *[F.sum(c).alias(c) for c in ("k", "s1", "s2")])
         )

@@ -29,6 +29,13 @@ def _cat(spark, d):
     return categorical.cat_profile(_line_text(spark, d), LINE_CAT)
 
 
+def _handed_over(spark, **parts):
+    """As in use: the scan writes its profile, maps and reports are made from what it wrote."""
+    path = scratch_path(spark, "profile")
+    sinks.write_profile_json(path, **parts)
+    return sinks.read_profile(spark, path)
+
+
 def flatten_cat(spark, d):
     return rounded(report.flatten_cat(*_cat(spark, d)), "null_ratio")
 
@@ -54,7 +61,8 @@ def fill_strategy(spark, d):
 
 
 def fillna_map(spark, d):
-    fills = report.fillna_map(_num(spark, d), *_cat(spark, d))
+    back = _handed_over(spark, num=_num(spark, d), cat=_cat(spark, d))
+    fills = report.fillna_map(back["num"], back["cat"], back["top"])
     # numbers print differently in either engine: compare them as numbers
     return fills.select(
         "feature",
@@ -73,10 +81,7 @@ def encoding_map(spark, d):
 
 
 def encoding_map_cross(spark, d):
-    # as in use: the scan writes its profile, the maps are made from what it wrote
-    path = scratch_path(spark, "profile")
-    sinks.write_profile_json(path, cat=_cat(spark, d), cross=cross.cross_coverage(_pair_counts(spark, d)))
-    back = sinks.read_profile(spark, path)
+    back = _handed_over(spark, cat=_cat(spark, d), cross=cross.cross_coverage(_pair_counts(spark, d)))
     pairs = [pair_name(a, b) for a, b in PAIRS]
     maps = encode.encoding_maps(back["cat"], back["top"], LINE_CAT, back["cross"], pairs)
     children = [b for _, b in PAIRS]
@@ -94,8 +99,8 @@ def analyze(spark, d):
 
 
 def report_rows(spark, d):
-    cat, top = _cat(spark, d)
-    return report.report_rows(_num(spark, d), cat, top, GAPS_NUM, LINE_CAT)
+    back = _handed_over(spark, num=_num(spark, d), cat=_cat(spark, d))
+    return report.report_rows(back["num"], back["cat"], back["top"], GAPS_NUM, LINE_CAT)
 
 
 QUERIES = {

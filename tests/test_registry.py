@@ -1,6 +1,7 @@
 """Every registered query against its SQL, on the smallest tables."""
 
 import math
+import re
 
 import pytest
 
@@ -16,9 +17,18 @@ def _cell(value):
     return repr(value)
 
 
+def check_plan(df):
+    """No Python workers, no cross join, no window without partition columns."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"BatchEvalPython|ArrowEvalPython|MapInPandas|FlatMapGroups|PythonUDF", plan)
+    assert not re.search(r"CartesianProduct|BroadcastNestedLoopJoin", plan)
+    assert not re.search(r"windowspecdefinition\(specifiedwindowframe", plan)
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     result = QUERIES[name](spark, SF)
+    check_plan(result)
     columns = sorted(result.columns)
     rows = sorted(tuple(_cell(r[c]) for c in columns) for r in result.collect())
     if name not in SQL:

@@ -50,8 +50,9 @@ def broken_links(pages: DataFrame) -> DataFrame:
     """``(page_id, link, occurrences)`` of links that lead to no known page.
 
     A rooted link has one candidate, a relative one is tried below its own
-    folder and below the root. Distinct candidate paths are checked against the
-    known pages first, so a path that every page links to is looked up once.
+    folder and below the root. Known paths are distinct, so the join never
+    multiplies links; the partition of a path that every page links to is split
+    by adaptive execution.
     """
     rooted = F.startswith("target", F.lit("/"))
     candidates = links(pages).withColumn(

@@ -45,7 +45,9 @@ def pair_counts(df: DataFrame, pairs: Sequence[Sequence[str]]) -> DataFrame:
 def combinations(counts: DataFrame) -> DataFrame:
     """Distinct value pairs per column pair. Values stay separate columns, so a
     value that holds a separator cannot merge two pairs."""
-    return counts.groupBy("pair").agg(F.count(F.lit(1)).alias("combinations"))
+    # naming the rows keeps the counts below alike for every reader, so they are shuffled once
+    sizes = counts.groupBy("pair").agg(F.count(F.lit(1)).alias("combinations"), F.sum("n").alias("rows"))
+    return sizes.where(F.col("rows") >= F.col("combinations")).select("pair", "combinations")
 
 
 def within_limit(counts: DataFrame, max_combinations: int = MAX_COMBINATIONS) -> DataFrame:
@@ -55,7 +57,7 @@ def within_limit(counts: DataFrame, max_combinations: int = MAX_COMBINATIONS) ->
     per pair named.
     """
     allowed = combinations(counts).where(F.col("combinations") <= max_combinations).select("pair")
-    return counts.join(F.broadcast(allowed), "pair", "left_semi")
+    return counts.join(F.broadcast(allowed), "pair")
 
 
 def with_totals(counts: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gristmill.functions.roles import quoted
 from gristmill.operators.cross import PAIR_SEPARATOR
 from gristmill.operators.impute import one_row
+from gristmill.operators.lookup import settled
 
 # Fixed value: the label of everything that has no id of its own.
 OTHER = "OTH"
@@ -91,10 +92,10 @@ def encode_apply(
     """Ids from a feature's map, unknown and missing values to ``OTH``.
 
     A plain map has at most 1,001 rows, so broadcasting it is bounded. The map
-    of a column within another may be far larger: with ``within_pair`` Spark
-    picks the join from the size it measures.
+    of a column within another may be far larger: with ``within_pair`` it is
+    written out first and Spark picks the join from its size.
     """
-    small = (lambda d: d) if within_pair else F.broadcast
+    small = settled if within_pair else F.broadcast
     other = encoding.where((F.col("feature") == column) & (F.col("value") == OTHER)).select("id").scalar()
     known = encoding.where((F.col("feature") == column) & (F.col("value") != OTHER)).select(
         F.col("value").alias("_value"), F.col("id").alias("_id")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.roles import quoted
 from gristmill.operators.counts import name_of, number_counts
+from gristmill.operators.lookup import left_lookup
 from gristmill.operators.quantiles import locate
 
 
@@ -43,7 +44,7 @@ def group_table(df: DataFrame, key: str, value: str, prefix: str) -> DataFrame:
     v = F.col(quoted(value))
     return (
         df.where(F.col(quoted(key)).isNotNull())
-        .groupBy(quoted(key))
+        .groupBy(key)
         .agg(
             F.avg(v).alias(f"{prefix}_mean"),
             F.stddev_samp(v).alias(f"{prefix}_std"),
@@ -52,19 +53,9 @@ def group_table(df: DataFrame, key: str, value: str, prefix: str) -> DataFrame:
     )
 
 
-def attach(df: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """Left join of a per-key table; keys the table does not know give nulls.
-
-    The table grows with the number of keys, so no side is forced: Spark
-    broadcasts it when its measured size allows and otherwise shuffles both
-    sides, splitting the partition of a hot key.
-    """
-    return df.join(table, key, "left")
-
-
 def group_aggregates(train: DataFrame, target: DataFrame, key: str, value: str) -> DataFrame:
     """``target`` with mean, deviation and count of ``value`` per ``key``, fit on ``train``."""
-    return attach(target, group_table(train, key, value, f"{key}_{value}"), key)
+    return left_lookup(target, group_table(train, key, value, f"{key}_{value}"), [key])
 
 
 def group_size(df: DataFrame, key: str) -> DataFrame:
@@ -84,5 +75,5 @@ def group_nunique(df: DataFrame, key: str, member: str) -> DataFrame:
 def ratio_to_group_mean(train: DataFrame, target: DataFrame, key: str, value: str, output: str) -> DataFrame:
     """Row value over its group's train mean; null for unknown groups and zero means."""
     means = group_table(train, key, value, "_g").select(key, "_g_mean")
-    joined = attach(target, means, key)
+    joined = left_lookup(target, means, [key])
     return joined.withColumn(output, F.try_divide(F.col(quoted(value)).cast("double"), "_g_mean")).drop("_g_mean")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.hashing import bucket_of
 from gristmill.functions.roles import quoted
-from gristmill.operators.groups import attach
+from gristmill.operators.lookup import left_lookup
 
 FOLDS = 5
 
@@ -40,8 +40,7 @@ def out_of_fold(
     Without ``smoothing`` a category missing from the other folds stays null.
     With it, ``(sum + m * prior) / (count + m)`` with the overall mean of the
     other folds as prior, so the row's own target never counts. Missing
-    categories are null. Folds come from a stable hash of ``row_key``, and a hot
-    category is spread over them in the join.
+    categories are null. Folds come from a stable hash of ``row_key``.
     """
     y = F.col(quoted(target)).cast("double")
     marked = train.withColumn("_fold", bucket_of(F.col(quoted(row_key)), folds))
@@ -71,7 +70,7 @@ def out_of_fold(
             "_te", F.try_divide(F.coalesce("_os", F.lit(0.0)) + m * F.col("_prior"), F.col("_on") + m)
         )
     table = others.select(category, "_fold", F.col("_te").alias(output))
-    return marked.join(table, [category, "_fold"], "left").select(*[quoted(c) for c in train.columns], output)
+    return left_lookup(marked, table, [category, "_fold"]).select(*[quoted(c) for c in train.columns], output)
 
 
 def on_test(train: DataFrame, test: DataFrame, category: str, target: str, output: str) -> DataFrame:
@@ -79,7 +78,7 @@ def on_test(train: DataFrame, test: DataFrame, category: str, target: str, outpu
     y = F.col(quoted(target)).cast("double")
     table = train.groupBy(quoted(category)).agg(F.avg(y).alias("_te")).where(F.col(quoted(category)).isNotNull())
     overall = train.agg(F.avg(y)).scalar()
-    return attach(test, table, category).withColumn(output, F.coalesce("_te", overall)).drop("_te")
+    return left_lookup(test, table, [category]).withColumn(output, F.coalesce("_te", overall)).drop("_te")
 
 
 def count_encode(train: DataFrame, target: DataFrame, category: str, output: str) -> DataFrame:
@@ -89,4 +88,4 @@ def count_encode(train: DataFrame, target: DataFrame, category: str, output: str
         .groupBy(quoted(category))
         .agg(F.count(F.lit(1)).alias("_seen"))
     )
-    return attach(target, table, category).withColumn(output, F.coalesce("_seen", F.lit(0))).drop("_seen")
+    return left_lookup(target, table, [category]).withColumn(output, F.coalesce("_seen", F.lit(0))).drop("_seen")

@@ -5,7 +5,7 @@ from pathlib import Path
 
 import registry
 from conftest import SF, plan_of
-from gristmill.operators import groups, numeric
+from gristmill.operators import cross, groups, numeric
 from registry.tables import table
 
 ROOT = Path(__file__).resolve().parents[1]
@@ -35,6 +35,21 @@ def test_group_medians_read_the_source_once(spark):
     assert _scans(plan) == 1
 
 
+def test_pairs_are_counted_once(spark):
+    orders = table(spark, SF, "orders")
+    assert _scans(plan_of(cross.cross_coverage(cross.pair_counts(orders, [["o_orderstatus", "o_orderpriority"]])))) == 1
+
+
+def test_lookup_joins_follow_the_size_of_the_table(spark):
+    orders = table(spark, SF, "orders")
+    assert "BroadcastHashJoin" in plan_of(groups.group_aggregates(orders, orders, "o_custkey", "o_totalprice"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100")
+    try:
+        assert "SortMergeJoin" in plan_of(groups.group_aggregates(orders, orders, "o_custkey", "o_totalprice"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_rank_limits_run_before_the_shuffle(spark):
     for name in ("cat_profile", "history_topk_per_task", "lag_feature"):
         assert "WindowGroupLimit" in plan_of(registry.all_queries()[name](spark, SF)), name

@@ -1,10 +1,11 @@
 """Past-only features of a time-ordered group: lag and rolling mean.
 
 A plain window over ``partition by group`` puts a whole group in one task. Here
-each group is cut into time segments, which become the partitions, and every
-segment receives the few rows that precede it. A feature that looks back ``k``
-rows needs at most the last ``k`` rows before its segment, so the result is the
-same as that of the unsplit window.
+a group with many rows is cut into time segments, which become partitions of
+their own, and every segment receives the few rows that precede it. A feature
+that looks back ``k`` rows needs at most the last ``k`` rows before its segment,
+so the result is the same as that of the unsplit window. Other groups stay whole
+and take no part in the hand-over.
 """
 
 from __future__ import annotations
@@ -15,8 +16,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions.roles import quoted
+from gristmill.operators.lookup import settled
 
-SEGMENTS = 256
+ROWS_PER_SEGMENT = 1_000_000
+_SPREAD = 4096
+
+
+def _cuts(df: DataFrame, group: str, moment: Column, rows_per_segment: int) -> DataFrame:
+    """``(_g, _low, _width, _parts)`` of the groups with more rows than a segment
+    should have: at most one group per ``rows_per_segment`` rows of the table."""
+    sizes = (
+        df.where(F.col(quoted(group)).isNotNull())
+        .groupBy(F.col(quoted(group)).alias("_g"))
+        .agg(F.count(F.lit(1)).alias("_rows"), F.min(moment).alias("_low"), F.max(moment).alias("_high"))
+    )
+    return sizes.where(F.col("_rows") > rows_per_segment).select(
+        "_g",
+        "_low",
+        F.greatest(F.col("_high") - F.col("_low"), F.lit(1)).alias("_width"),
+        F.ceil(F.col("_rows") / rows_per_segment).alias("_parts"),
+    )
 
 
 def past_features(
@@ -27,48 +46,56 @@ def past_features(
     value: str,
     lags: Sequence[int] = (),
     windows: Sequence[int] = (),
-    segments: int = SEGMENTS,
+    rows_per_segment: int = ROWS_PER_SEGMENT,
 ) -> DataFrame:
     """``df`` with ``<value>_lag<k>`` and ``<value>_roll<k>`` columns.
 
     ``order`` is a timestamp, ``tie`` makes the order total. Lags repeat the
     earlier row's value, null or not; a rolling mean takes the present values
     of the ``k`` rows before the current one (null when there are none). Rows
-    without a group get nulls and are spread over all partitions.
+    without a group get nulls and are spread over many partitions. Segments are
+    equal spans of a group's time, so bursts make some larger than others.
     """
     reach = max([*lags, *windows])
     g, v = F.col(quoted(group)), F.col(quoted(value))
     moment = F.unix_micros(F.col(quoted(order)).cast("timestamp"))
-    span = df.agg(F.min(moment).alias("low"), F.max(moment).alias("high")).select(F.struct("low", "high")).scalar()
 
-    cut = df.withColumn("_t", moment).withColumn("_span", span)
-    width = F.greatest(F.col("_span.high") - F.col("_span.low"), F.lit(1))
-    place = F.floor((F.col("_t") - F.col("_span.low")) / width * segments)
-    lost = F.pmod(F.xxhash64(F.col(quoted(tie))), F.lit(segments))
-    cut = cut.withColumn("_seg", F.coalesce(F.when(g.isNull(), lost).otherwise(place), F.lit(0))).drop("_span")
+    cuts = settled(_cuts(df, group, moment, rows_per_segment))
+    place = F.floor((F.col("_t") - F.col("_low")) / F.col("_width") * F.col("_parts"))
+    lost = F.pmod(F.xxhash64(F.col(quoted(tie))), F.lit(_SPREAD))
+    segment = F.when(g.isNull(), lost).otherwise(F.coalesce(place, F.lit(0))).alias("_seg")
+    cut = (
+        df.withColumn("_t", moment)
+        .join(cuts, g == F.col("_g"), "left")
+        .select(*[quoted(c) for c in df.columns], "_t", segment, F.col("_parts").isNotNull().alias("_split"))
+    )
 
     here = [g, F.col("_seg")]
     ordered = [F.col("_t"), F.col(quoted(tie))]
-    # the last rows of every segment: a rank limit, applied before the shuffle
+    # the last rows of every segment of a split group: a rank limit, applied before the shuffle
     tails = (
-        cut.where(g.isNotNull())
+        cut.where("_split")
         .withColumn("_back", F.row_number().over(Window.partitionBy(*here).orderBy(*[o.desc() for o in ordered])))
         .where(F.col("_back") <= reach)
         .select(g.alias("_g"), "_seg", "_t", F.col(quoted(tie)).alias("_tie"), v.alias("_v"))
     )
     # which later segments need this row: those that begin within its next `reach` tail rows
     along = Window.partitionBy("_g").orderBy("_t", "_tie")
-    needed = (
+    halos = (
         tails.withColumn("_later", F.collect_set("_seg").over(along.rowsBetween(1, reach)))
         .select("_g", "_seg", "_t", "_tie", "_v", F.explode("_later").alias("_for"))
         .where(F.col("_for") != F.col("_seg"))
         .groupBy("_g", "_for")
         .agg(F.sort_array(F.collect_list(F.struct("_t", "_tie", "_v"))).alias("_halo"))
-        .withColumn("_halo", F.slice("_halo", F.greatest(F.size("_halo") - reach + 1, F.lit(1)), reach)["_v"])
-        .withColumnsRenamed({"_g": "_hg", "_for": "_hseg"})
+        .select(
+            F.col("_g").alias("_hg"),
+            F.col("_for").alias("_hseg"),
+            F.slice("_halo", F.greatest(F.size("_halo") - reach + 1, F.lit(1)), reach)["_v"].alias("_halo"),
+        )
     )
-    joined = cut.join(needed, (g == F.col("_hg")) & (F.col("_seg") == F.col("_hseg")), "left").withColumn(
-        "_halo", F.coalesce("_halo", F.array().cast(f"array<{df.schema[value].dataType.simpleString()}>"))
+    nothing = F.array().cast(f"array<{df.schema[value].dataType.simpleString()}>")
+    joined = cut.join(settled(halos), (g == F.col("_hg")) & (F.col("_seg") == F.col("_hseg")), "left").withColumn(
+        "_halo", F.coalesce("_halo", nothing)
     )
 
     w = Window.partitionBy(*here).orderBy(*ordered)

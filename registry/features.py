@@ -61,7 +61,10 @@ def ratio_to_group_mean(spark, d):
 
 
 def lag_feature(spark, d):
-    made = timeline.past_features(event_gaps(spark, d), "user_id", "ts", "event_id", "value", lags=[1])
+    # small segments, so that every user's history is split and joined up again
+    made = timeline.past_features(
+        event_gaps(spark, d), "user_id", "ts", "event_id", "value", lags=[1], rows_per_segment=20
+    )
     return made.select("event_id", "user_id", "value_lag1")
 
 

@@ -51,7 +51,7 @@ def test_lookup_joins_follow_the_size_of_the_table(spark):
 
 
 def test_rank_limits_run_before_the_shuffle(spark):
-    for name in ("cat_profile", "history_topk_per_task", "lag_feature"):
+    for name in ("cat_profile", "history_topk_per_task"):
         assert "WindowGroupLimit" in plan_of(registry.all_queries()[name](spark, SF)), name
 
 

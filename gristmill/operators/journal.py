@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,16 +32,17 @@ DEFAULT_TASK = "default_task"
 STATUSES = ("all", "success", "buggy")
 
 
-def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
+def parse_lines(lines: DataFrame, column: str = "value", keep: Sequence[str] = ()) -> DataFrame:
     """Records from JSON lines; blank and malformed lines are dropped.
 
-    A line counts as a record when it parses as a JSON object, even without an id.
+    A line counts as a record when it parses as a JSON object, even without an
+    id. ``keep`` names columns to carry along.
     """
     return (
         lines.withColumn("_line", F.trim(F.col(column)))
         .where(F.col("_line").startswith("{") & F.try_parse_json("_line").isNotNull())
-        .select(F.from_json("_line", RECORD).alias("r"))
-        .select("r.*")
+        .select(F.from_json("_line", RECORD).alias("_r"), *keep)
+        .select("_r.*", *keep)
     )
 
 
@@ -249,7 +252,8 @@ def tree(journal: DataFrame) -> DataFrame:
         state = state.where(F.col("root").isNotNull()).unionByName(moved).checkpoint()
         open_ids = state.where(F.col("root").isNull()).count()
         reach *= 2
-    return state.select("task_id", F.col("id").alias("submission_id"), "root", F.when(F.col("root").isNotNull(), F.col("steps")).alias("depth"))
+    depth = F.when(F.col("root").isNotNull(), F.col("steps")).alias("depth")
+    return state.select("task_id", F.col("id").alias("submission_id"), "root", depth)
 
 
 def markdown(journal: DataFrame) -> DataFrame:

@@ -74,31 +74,33 @@ def write_features_csv(train: DataFrame, test: DataFrame, directory: str) -> Non
         table.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{directory}/{name}")
 
 
+def _by_task(table: DataFrame) -> DataFrame:
+    """Rows of a task lie together, so that a task gets few files; rebalancing,
+    unlike a plain repartition, splits a task that holds most of the rows."""
+    return table.hint("rebalance", "task_id")
+
+
 def journal_append(records: DataFrame, directory: str) -> None:
     """Add records below their task's folder; earlier files are never rewritten."""
-    records.write.mode("append").partitionBy("task_id").json(directory)
+    _by_task(records).write.mode("append").partitionBy("task_id").json(directory)
 
 
 def journal_load(spark: SparkSession, directory: str) -> DataFrame:
     """The whole journal; a missing folder is an empty one. Blank and malformed
-    lines are skipped. The task is read from the folder name."""
+    lines are skipped. The task is read from the folder name, as text."""
     try:
-        lines = spark.read.option("basePath", directory).text(directory)
+        lines = spark.read.text(directory)
     except AnalysisException:
         return spark.createDataFrame([], journal_ops.RECORD)
     if "task_id" not in lines.columns:
         return journal_ops.parse_lines(lines)
-    kept = lines.withColumn("_task", F.col("task_id").cast("string"))
-    parsed = (
-        kept.withColumn("_line", F.trim("value"))
-        .where(F.col("_line").startswith("{") & F.try_parse_json("_line").isNotNull())
-        .select(F.from_json("_line", journal_ops.RECORD).alias("r"), "_task")
-    )
-    fields = [f"r.{f.name}" for f in journal_ops.RECORD if f.name != "task_id"]
-    return parsed.select(*fields, F.coalesce("r.task_id", "_task").alias("task_id"))
+    tasked = spark.read.schema("value string, task_id string").text(directory)
+    parsed = journal_ops.parse_lines(tasked.withColumnRenamed("task_id", "folder"), keep=["folder"])
+    fields = [f.name for f in journal_ops.RECORD if f.name != "task_id"]
+    return parsed.select(*fields, F.coalesce("task_id", "folder").alias("task_id"))
 
 
 def write_journal_markdown(journal: DataFrame, directory: str) -> None:
     """Readable blocks as text, one folder per task."""
     blocks = journal_ops.markdown(journal).select("task_id", F.concat(F.lit("\n"), "block").alias("value"))
-    blocks.write.mode("append").partitionBy("task_id").text(directory)
+    _by_task(blocks).write.mode("append").partitionBy("task_id").text(directory)

@@ -33,6 +33,19 @@ def test_store_round_trip(spark):
     assert got["s1"].task_id == "007"
 
 
+def test_numeric_task_ids_stay_text(spark):
+    path = scratch_path(spark, "journal")
+    sinks.journal_append(_journal(spark, [{"submission_id": "s", "task_id": t} for t in ("007", "10")]), path)
+    assert {r.task_id for r in sinks.journal_load(spark, path).collect()} == {"007", "10"}
+
+
+def test_markdown_folders(spark):
+    path = scratch_path(spark, "log")
+    sinks.write_journal_markdown(_journal(spark, [{"submission_id": "s", "task_id": "t", "tags": ["x"]}]), path)
+    lines = [r["value"] for r in spark.read.text(path).collect()]
+    assert "## s" in lines and "- **tags**: x" in lines
+
+
 def test_status_and_tags(spark):
     table = _journal(
         spark,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Calendar parts and how to read them (weekday: Monday = 0).
 CALENDAR = {
@@ -20,6 +21,20 @@ def datetime_parts(moment: Column, prefix: str) -> list[Column]:
     return [read(moment).alias(f"{prefix}_{part}") for part, read in CALENDAR.items()]
 
 
+def clock_micros(moment: Column, kind: T.DataType) -> Column:
+    """Microseconds that grow with time.
+
+    A timestamp without zone is read off its calendar fields, so neither the
+    session's zone nor its clock changes can reorder rows.
+    """
+    if isinstance(kind, T.TimestampNTZType):
+        day = F.unix_date(moment.cast("date")).cast("bigint")
+        minutes = (day * 24 + F.hour(moment)) * 60 + F.minute(moment)
+        seconds = F.extract(F.lit("SECOND"), moment)
+        return minutes * 60_000_000 + (seconds * 1_000_000).cast("bigint")
+    return F.unix_micros(moment.cast("timestamp"))
+
+
 def embedding_dim(nunique: Column) -> Column:
     """Suggested embedding width for a number of distinct values."""
     n = nunique.cast("bigint")

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.hashing import bucket_of
 from gristmill.functions.roles import quoted
+from gristmill.functions.scalars import clock_micros
 from gristmill.operators import numeric
 
 
 def temporal(df: DataFrame, moment: str, train_share: float = 0.8, output: str = "split") -> DataFrame:
     """Rows up to the exact ``train_share`` quantile of time train, later ones validate."""
-    timed = df.withColumn("_t", F.unix_micros(F.col(quoted(moment)).cast("timestamp")))
+    timed = df.withColumn("_t", clock_micros(F.col(quoted(moment)), df.schema[moment].dataType))
     cut = numeric.quantiles(timed.select("_t"), ["_t"], [train_share], ["cut"]).select("cut").scalar()
     return timed.withColumn(output, F.when(F.col("_t") <= cut, F.lit("train")).otherwise(F.lit("valid"))).drop("_t")
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions.roles import quoted
+from gristmill.functions.scalars import clock_micros
 from gristmill.operators.lookup import settled
 
 ROWS_PER_SEGMENT = 1_000_000
@@ -58,7 +59,7 @@ def past_features(
     """
     reach = max([*lags, *windows])
     g, v = F.col(quoted(group)), F.col(quoted(value))
-    moment = F.unix_micros(F.col(quoted(order)).cast("timestamp"))
+    moment = clock_micros(F.col(quoted(order)), df.schema[order].dataType)
 
     cuts = settled(_cuts(df, group, moment, rows_per_segment))
     place = F.floor((F.col("_t") - F.col("_low")) / F.col("_width") * F.col("_parts"))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.functions.scalars import clock_micros
 from gristmill.operators import categorical, cross, groups, numeric
 from gristmill.operators.counts import text_counts
 from gristmill.plans import profile
@@ -58,9 +59,11 @@ def row_count(spark, d):
 
 def _line_text(spark, d):
     # dates as epoch seconds and quantities as whole numbers: both engines print those alike
-    return gaps(spark, d).withColumns(
+    lines = gaps(spark, d)
+    moment = clock_micros(F.col("l_shipdate"), lines.schema["l_shipdate"].dataType)
+    return lines.withColumns(
         {
-            "l_shipdate": F.unix_seconds(F.col("l_shipdate").cast("timestamp")),
+            "l_shipdate": F.floor(moment / 1_000_000).cast("bigint"),
             "l_quantity": F.col("l_quantity").cast("int"),
         }
     )

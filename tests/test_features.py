@@ -130,3 +130,15 @@ def test_correlation_matches_numpy(spark):
     x, y = rng.random(200), rng.random(200)
     df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y, strict=True)], "x double, y double")
     assert leakage.target_correlation(df, ["x"], "y").first().correlation == pytest.approx(np.corrcoef(x, y)[0, 1])
+
+
+def test_clock_does_not_depend_on_the_session_zone(spark):
+    from gristmill.functions.scalars import clock_micros
+
+    df = spark.sql("select timestamp_ntz'2024-03-31 02:30:00.123456' as t union all select timestamp_ntz'1969-12-31 23:59:59.5'")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        got = {r.m for r in df.select(clock_micros(F.col("t"), df.schema["t"].dataType).alias("m")).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == {1711852200123456, -500000}

@@ -8,7 +8,7 @@ from gristmill.functions import scalars
 from gristmill.operators import binning, categorical, encode, groups, impute, numeric, target_encoding, timeline
 from gristmill.plans import feature_job, report
 from registry.profile import LINE_CAT, _LINE_LONG_SQL, _LINE_TEXT_SQL, _line_text
-from registry.scan import _IMPUTED_TEST, _ORDERS_WITH_GAPS_SQL, _SPLIT, _orders_with_gaps, num_profile_sql, split_orders, top_sql
+from registry.scan import _IMPUTED_TEST, _SPLIT, _orders_with_gaps, split_orders, top_sql
 from registry.tables import EVENT_GAPS_SQL, GAPS_SQL, bucket_sql, event_gaps, gaps, rounded, table
 
 _FIT = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]

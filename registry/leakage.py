@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gristmill.functions.hashing import bucket_of
 from gristmill.operators import leakage, splits, target_encoding
-from registry.features import _GAPPY_PRIORITY_SQL, _OOF, _gappy_priority
-from registry.tables import bucket_sql, gaps, rounded, table, GAPS_SQL
+from registry.features import _OOF, _gappy_priority
+from registry.tables import GAPS_SQL, bucket_sql, gaps, rounded, table
 
 
 def dup_train_test(spark, d):

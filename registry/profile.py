@@ -13,7 +13,7 @@ from gristmill.operators.counts import text_counts
 from gristmill.plans import profile
 from registry.scan import cross_sql, num_profile_sql, top_sql
 from registry.tables import (
-    ALL, EVENT_GAPS_SQL, GAPS_NUM, GAPS_SQL, event_gaps, gaps, rounded, table, union_sql,
+    EVENT_GAPS_SQL, GAPS_NUM, GAPS_SQL, event_gaps, gaps, rounded, table, union_sql,
 )
 
 _FLOATS = [c for c in numeric.PROFILE_COLUMNS if c not in ("feature", "nunique", "null_count", "zero_count")]

@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from gristmill import scratch_path
 from gristmill.functions.hashing import bucket_of
 from gristmill.functions.roles import select_features
-from gristmill.operators import categorical, cross, groups, impute, numeric
+from gristmill.operators import categorical, cross, impute, numeric
 from gristmill.operators.counts import text_counts
 from gristmill.plans import feature_job, profile
 from gristmill.sources import files, sinks
 from registry.tables import (
-    ALL, EVENT_GAPS_SQL, GAPS_NUM, GAPS_SQL, bucket_sql, event_gaps, gaps, rounded, table, union_sql,
+    ALL, EVENT_GAPS_SQL, GAPS_SQL, bucket_sql, event_gaps, gaps, rounded, table, union_sql,
 )
 
 _ORDER_COLUMNS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority"

@@ -98,11 +98,16 @@ def fit(
             langs = batch.column(0).dictionary_encode()
             codes, known = langs.indices.to_numpy(zero_copy_only=False), langs.dictionary.to_pylist()
             for first, row, gram, _ in grams(batch.column(1).fill_null("")):
-                # once per document
-                once = np.unique(np.stack([codes[first + row].astype(np.uint64), row.astype(np.uint64), gram]), axis=1)
-                pairs, n = np.unique(once[[0, 2]], axis=1, return_counts=True)
+                # once per document; n-grams have 32 bits
+                once = np.unique((row.astype(np.uint64) << np.uint64(32)) | gram)
+                code = codes[first + (once >> np.uint64(32)).astype(np.int64)].astype(np.uint64)
+                pairs, n = np.unique((code << np.uint64(32)) | (once & np.uint64(0xFFFFFFFF)), return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(known).take(pa.array(pairs[0].astype(np.int64))), pa.array(pairs[1].astype(np.int64)), pa.array(n)],
+                    [
+                        pa.array(known).take(pa.array((pairs >> np.uint64(32)).astype(np.int64))),
+                        pa.array((pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)),
+                        pa.array(n),
+                    ],
                     ["lang", "gram", "n"],
                 )
 

@@ -8,10 +8,12 @@ inserted-character spellings stay close to the word they hide.
 
 Training takes a bounded sample of labelled documents and works on the words of
 their sentences. Words that stand in toxic documents only, between many
-different neighbours, are the positive witnesses (a copied passage has one word
-beside each of its own); words of the other documents are negatives. Some of both
+different neighbours, are the positive witnesses; a document that is copied often
+counts once, as neighbours that a single document gives are not counted, nor are
+words far rarer than the strongest. Words of the other documents are negatives. Some of both
 become landmarks, the kernel with them gives Nystrom features, and a linear SVM
-is fitted, twice more with the negatives it got wrong. The word that scores
+is fitted, twice more with the negatives it got wrong. Every positive is also learnt
+with a letter put in at each place, so that such spellings fall on its side. The word that scores
 highest decides its sentence, and the highest sentence its document.
 
 Scoring is vectorised: with explicit subsequence features the SVM is one weight
@@ -43,6 +45,8 @@ CODES = 27  # letters, and one for any other character of a word
 SAMPLE = 8_000
 LANDMARKS = 96
 POSITIVES, NEGATIVES = 400, 6_000
+#: Witnesses have at least this share of the neighbours that the strongest has.
+RARE = 0.1
 #: Longest word looked at as one; longer ones are cut into overlapping parts.
 WORD = 40
 
@@ -122,6 +126,13 @@ def _codes(word: str) -> np.ndarray:
     return np.array([ord(c) - 96 if "a" <= c <= "z" else CODES for c in word], np.uint8)
 
 
+def _put_in(codes: np.ndarray) -> list[np.ndarray]:
+    """The word with one letter put in, once at every place inside it. The letters
+    follow from the word, so that a model is the same whenever it is fitted."""
+    letters = np.random.default_rng(codes.astype(np.uint32)).integers(1, 27, len(codes))
+    return [np.insert(codes, k, letters[k]).astype(np.uint8) for k in range(1, len(codes))]
+
+
 def _matrix(words: list[np.ndarray]) -> np.ndarray:
     """Unit-length subsequence features of the words, dense rows."""
     out = np.zeros((len(words), 28**3), np.float32)
@@ -169,19 +180,27 @@ def _svm(x: np.ndarray, y: np.ndarray, rounds: int = 300, cost: float = 50.0) ->
     return w[:-1], float(w[-1])
 
 
-def _word_table(chosen: DataFrame) -> DataFrame:
-    """word, n_clean, n_toxic, n_contexts: occurrences by label, and distinct words
-    before it in toxic documents."""
+def _word_rows(chosen: DataFrame) -> DataFrame:
+    """toxic, doc (hash of the text: exact copies are one), left and word of every word."""
     words = F.expr(r"filter(split(trim(regexp_replace(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿß', 'aaaaaaceeeeiiiinooooouuuuyys'), '[^\\p{L}]+', ' ')), ' '), x -> x != '')")
     pairs = F.transform(F.array(words), lambda x: F.arrays_zip(F.concat(F.array(F.lit("")), x).alias("left"), x.alias("word")))
-    rows = chosen.select("toxic", F.explode(pairs[0]).alias("p")).select("toxic", "p.left", "p.word")
-    counts = rows.where(F.length("word").between(3, WORD)).groupBy("word", "left", "toxic").agg(F.count("*").alias("n"))
+    rows = chosen.select("toxic", F.xxhash64("text").alias("doc"), F.explode(pairs[0]).alias("p"))
+    return rows.select("toxic", "doc", "p.left", "p.word").where(F.length("word").between(3, WORD))
+
+
+def _word_table(rows: DataFrame) -> DataFrame:
+    """word, n_clean, n_toxic, n_contexts, n_in_one: occurrences by label, distinct
+    words before it in toxic documents, and the most of them in any one document."""
     bad = F.col("toxic") == 1
-    return counts.groupBy("word").agg(
+    counts = rows.groupBy("word", "left", "toxic").agg(F.count("*").alias("n"))
+    single = rows.where(bad).groupBy("word", "doc").agg(F.count_distinct("left").alias("n"))
+    single = single.groupBy("word").agg(F.max("n").alias("n_in_one"))
+    totals = counts.groupBy("word").agg(
         F.coalesce(F.sum(F.when(bad, F.col("n"))), F.lit(0)).alias("n_toxic"),
         F.coalesce(F.sum(F.when(~bad, F.col("n"))), F.lit(0)).alias("n_clean"),
         F.count(F.when(bad, True)).alias("n_contexts"),
     )
+    return totals.join(single, "word", "left").fillna(0, ["n_in_one"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, salt: str = "toxicity") -> ToxicityModel:
@@ -198,20 +217,20 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     unit = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(salt)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     picked = marked.where(unit < min(1.0, sample / total))
     chosen = written(docs.select(F.col(key), F.col(text).alias("text")).join(picked, key).select("toxic", "text"), "labelled")
-    table = written(_word_table(chosen), "words")
+    rows = _word_rows(chosen)
+    table = written(_word_table(rows), "words")
     sizes = table.agg(F.count("*"), F.sum("n_toxic"), F.sum("n_toxic") + F.sum("n_clean")).first()
     if not sizes[0] or not 0 < sizes[1] < sizes[2]:
         return empty
     # so many contexts that less than one word is expected to have them in toxic documents alone by chance
     least = max(3, math.ceil(math.log(sizes[0]) / math.log(sizes[2] / sizes[1])))
-    positive = (
-        table.where((F.col("n_clean") == 0) & (F.col("n_contexts") >= least))
-        .orderBy(F.desc("n_contexts"), "word").limit(POSITIVES).collect()
-    )
+    seen = table.where((F.col("n_clean") == 0) & (F.col("n_contexts") - F.col("n_in_one") >= least))
+    positive = seen.orderBy(F.desc("n_contexts"), "word").limit(POSITIVES).select("word", "n_contexts").collect()
+    positive = [r["word"] for r in positive if r["n_contexts"] >= RARE * positive[0]["n_contexts"]]
     negative = table.where("n_clean > 0").orderBy(F.xxhash64("word", F.lit(salt))).limit(NEGATIVES).collect()
     if not positive or not negative:
         return empty
-    good = [_codes(r["word"]) for r in positive]
+    good = [_codes(word) for word in positive]
     bad = [_codes(r["word"]) for r in negative]
     # landmarks: the strongest witness, then always the word least like those chosen; a third are negatives
     features = _matrix(good)
@@ -224,6 +243,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     values, vectors = np.linalg.eigh((base @ base.T).astype(np.float64))
     use = values > 1e-6
     root = vectors[:, use] / np.sqrt(values[use])
+    clean = {c.tobytes() for c in bad}
+    good += [v for c in good for v in _put_in(c) if v.tobytes() not in clean]
     train, y = good + bad, np.array([1.0] * len(good) + [-1.0] * len(bad))
     x = _kernel(train, base) @ root
     w, bias = _svm(x, y)

@@ -430,7 +430,7 @@ def test_toxicity_on_held_out_sentences(spark, insults):
     assert all(got[k] >= 0.5 for k in range(3)) and got[9] < 0.5 and got[10] < 0.5 and got[11] < 0.5
 
 
-@pytest.mark.xfail(strict=True, reason="open fault: a letter put into a word never seen so scores 0.21, below 0.5")
+@pytest.mark.xfail(strict=True, reason="open fault: a letter put into a word scores below 0.5")
 def test_toxicity_of_an_inserted_letter(spark, insults):
     frame = spark.createDataFrame([(0, "taremon lika Zoggxwug")], "doc_id long, text string")
     assert toxicity.score(frame, insults[2]).first()["score"] >= 0.5

@@ -1,4 +1,4 @@
-"""Registered queries of the operators: op1 to op10."""
+"""Registered queries of the operators: op1 to op13."""
 
 from __future__ import annotations
 
@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 from gristmill.llm import (
     bpe,
     decontaminate,
+    fill_in_middle,
     language,
+    licenses,
     pseudonyms,
     quality_classifier,
     quality_rules,
     quotes,
     secret_scan,
     simhash,
+    spellings,
     toxicity,
 )
 
@@ -145,11 +148,121 @@ def op10_string_kernel(spark, sf_dir):
     return scored.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_license_join(spark, sf_dir):
+    scanned = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = F.col("__licenses")
+    starts = F.transform(found["hits"], lambda h: h["start"])
+    named = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    return scanned.select(
+        "doc_id",
+        found["n_words"].alias("n_words"),
+        F.size(found["hits"]).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        named(F.transform(found["hits"], lambda h: h["label"])).alias("base_labels"),
+        named(found["labels"]).alias("labels"),
+        found["score"].alias("score"),
+    )
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _op11_sql(threshold: float = 0.9) -> str:
+    """Every block with every template, and the phrases, in plain SQL."""
+    made = licenses.as_templates(licenses.TEMPLATES, threshold)
+    templates = ", ".join(f"({_quoted(t.label)}, [{', '.join(map(_quoted, t.words))}], {t.need})" for t in made)
+    phrases = ", ".join(f"([{', '.join(map(_quoted, p.split(' ')))}], {_quoted(label)})" for p, label in licenses.PHRASES.items())
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    return f"""
+with templates(label, tw, need) as (values {templates}),
+phrases(pw, label) as (values {phrases}),
+low as (
+    select row_number() over () as r, doc_id,
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t
+    from documents),
+words as (select r, doc_id, regexp_extract_all(t, '{word}') as w from low),
+hits as (
+    select r, label, unnest([k for k in range(0, len(w)) if w[k + 1:k + len(pw)] = pw]) as start
+    from words, phrases where list_contains(w, pw[1])),
+lines as (select r, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) as i from low),
+line_words as (select r, i, regexp_extract_all(line, '{word}') as w from lines),
+parts as (select r, i, w, sum((len(w) = 0)::int) over (partition by r order by i) as part from line_words),
+blocks as (
+    select r, 'l' || i as block, list_distinct(w) as w from parts where len(w) > 0
+    union all
+    select r, 'p' || part, list_distinct(flatten(list(w))) from parts where len(w) > 0 group by r, part),
+shared as (select r, block, label, need, len(tw) as size, len(list_intersect(w, tw)) as n from blocks, templates),
+met as (select *, n::double / size as fit from shared where n >= need),
+best as (select * from met qualify rank() over (partition by r, block order by fit desc, n desc) = 1),
+labelled as (select r, label, 1.0::double as fit from hits union all select r, label, fit from best),
+named as (select r, string_agg(distinct label, ',' order by label) as labels, max(fit) as score from labelled group by r),
+based as (
+    select r, count(*) as n_base, min(start) as first_word, max(start) as last_word,
+           string_agg(distinct label, ',' order by label) as base_labels
+    from hits group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word, last_word,
+       coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0.0)::double as score
+from words left join based using (r) left join named using (r)
+"""
+
+
+def op12_fill_in_middle(spark, sf_dir):
+    made = fill_in_middle.transform(table(spark, sf_dir, "documents"), ["doc_id"])
+    output = F.col("output")
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2(output, 256).alias("output_sha256"),
+        F.sha2(fill_in_middle.restored(output, F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+OP12_SQL = """
+with cut as (
+    select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as u,
+           sha256('1:' || coalesce(doc_id::varchar, '')) as d
+    from documents),
+drawn as (
+    select *, len(u)::bigint as n,
+           ('0x' || d[1:8])::ubigint % (len(u) + 1) as c1, ('0x' || d[9:16])::ubigint % (len(u) + 1) as c2,
+           ('0x' || d[17:24])::ubigint % 100 as h3, ('0x' || d[25:32])::ubigint % 100 as h4
+    from cut),
+parts as (
+    select *, array_to_string(u[1:least(c1, c2)], '') as p, array_to_string(u[least(c1, c2) + 1:greatest(c1, c2)], '') as m,
+           array_to_string(u[greatest(c1, c2) + 1:], '') as s,
+           case when t = '' or h3 >= 90 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') then 'plain'
+                when h4 < 20 then 'spm' else 'psm' end as form
+    from drawn)
+select doc_id, n, form,
+       case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+       sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m
+              else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+       sha256(t) as restored_sha256
+from parts
+"""
+
+
+def op13_spelling_chunks(spark, sf_dir):
+    found = spellings.group_spellings(table(spark, sf_dir, "documents"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_divergence_rules, op2_rule_ensemble, op3_covering_simhash, op4_secret_scan, op5_feistel_pseudonyms,
-        op6_containment_search, op7_trie_bpe, op8_quote_links, op9_language_bloom, op10_string_kernel,
+        op6_containment_search, op7_trie_bpe, op8_quote_links, op9_language_bloom, op10_string_kernel, op11_license_join,
+        op12_fill_in_middle, op13_spelling_chunks,
     )
 }
-SQL = {"op6_containment_search": OP6_SQL, "op8_quote_links": OP8_SQL}
+SQL = {
+    "op6_containment_search": OP6_SQL,
+    "op8_quote_links": OP8_SQL,
+    "op11_license_join": _op11_sql(),
+    "op12_fill_in_middle": OP12_SQL,
+}

@@ -126,14 +126,14 @@ def test_wavelet_ranks():
             assert (WaveletMatrix(symbols, 3).rank(c, p) == [(symbols[:k] == c).sum() for k in p]).all()
 
 
-def cut_by_hand(doc_id, text, unit=r"[A-Za-z]+|[^A-Za-z]"):
+def cut_by_hand(doc_id, text, unit=r"[A-Za-z]+|[^A-Za-z]", percent=90):
     text = text or ""
     units = re.findall(unit, text)
     digest = hashlib.sha256(f"1:{'' if doc_id is None else doc_id}".encode()).hexdigest()
     h = [int(digest[k : k + 8], 16) for k in (0, 8, 16, 24)]
     a, b = sorted((h[0] % (len(units) + 1), h[1] % (len(units) + 1)))
     p, m, s = ("".join(x) for x in (units[:a], units[a:b], units[b:]))
-    if not text or any(x in text for x in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 90:
+    if not text or any(x in text for x in ("<P>", "<S>", "<M>")) or h[2] % 100 >= percent:
         return text, "plain", len(units), None, None
     if h[3] % 100 < 20:
         return f"<S>{s}<P>{p}<M>{m}", "spm", len(units), len(p), len(m)
@@ -152,7 +152,7 @@ def test_cuts_equal_a_list_of_units_and_restore(both):
 def test_cuts_between_characters_and_words(both):
     chars = fill_in_middle.transform(both, ["doc_id", "text"], unit="character", percent=100).where("form <> 'plain'").collect()
     for r in chars:
-        assert r["n"] == len(r["text"]) and r["output"] == cut_by_hand(r["doc_id"], r["text"], r"(?s:.)")[0]
+        assert r["n"] == len(r["text"]) and r["output"] == cut_by_hand(r["doc_id"], r["text"], r"(?s:.)", 100)[0]
     for r in fill_in_middle.transform(both, ["text"], "text", unit="word", percent=100).where("form <> 'plain'").collect():
         begins = {m.start() for m in re.finditer("[A-Za-z]+", r["text"])} | {0, len(r["text"])}
         assert {r["prefix_chars"], r["prefix_chars"] + r["middle_chars"]} <= begins and r["n"] == len(re.findall("[A-Za-z]+", r["text"]))

@@ -35,12 +35,14 @@ def word_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", least_
     Counts are combined before the shuffle, so a very common word is one row a task.
     """
     body = F.col(text).cast("string")
+    # shorter runs cannot give words
     runs = docs.select(
         F.coalesce(F.col(key).cast("string"), F.lit("")).alias("__key"),
         body.rlike(r"[À-Þ]").alias("__capitals"),
-        # shorter runs cannot give words
-        F.explode(F.regexp_extract_all(body, F.lit(f"{RUN}{{{least_chars},}}"), F.lit(0))).alias("__run"),
+        F.regexp_extract_all(body, F.lit(f"{RUN}{{{least_chars},}}"), F.lit(0)).alias("__runs"),
     )
+    # apart from the line above, which else looks through a text for each of its runs
+    runs = runs.select("__key", "__capitals", F.explode("__runs").alias("__run"))
     # lower() changes capitals beyond Z as well, so it serves where the text has none
     run = F.when(F.col("__capitals"), F.translate("__run", UPPER, LOWER)).otherwise(F.lower("__run"))
     words = runs.select("__key", run.alias("word"))

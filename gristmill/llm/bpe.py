@@ -5,23 +5,29 @@ entry that ends the prefix and is compatible with the last token of what stands
 before it. A task takes the distinct pieces of its batch in sorted order, which
 walks their trie depth first: the stack of last tokens of the common prefix is
 kept from piece to piece, so every shared prefix is encoded once. Two tokens are
-compatible when merging their symbols together would not join across them.
+compatible when merging their symbols together would not join across them. Merges
+come in order of rank, and a token's rank is above its parts', so what stands beside
+the border at a time is on the right spine of the first token's merge tree and on the
+left spine of the second's: one walk down both settles it.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import struct
 import unicodedata
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from gristmill.llm.storage import shared_value
 
@@ -29,6 +35,8 @@ from gristmill.llm.storage import shared_value
 KNOWN_WORDS = 400_000
 #: Texts are encoded in groups of about so many characters.
 GROUP_CHARS = 1 << 21
+#: Above every rank.
+NEVER = 1 << 60
 SEPARATORS = regex.compile("[\x1c-\x1f\x85]")
 
 
@@ -41,6 +49,10 @@ class Vocabulary:
     suffix: str
     pattern: str
     special: dict[str, int]
+    #: Characters that the library puts in another class than ``regex`` does: one of the right class.
+    stand_ins: dict[str, str]
+    #: Characters that the library lower-cases in another way than Python does.
+    lowers: dict[str, str]
 
 
 def read_vocabulary(path: str) -> Vocabulary:
@@ -54,7 +66,39 @@ def read_vocabulary(path: str) -> Vocabulary:
     if kinds != ["NFC", "Replace", "Lowercase"] or spec["decoder"] is not None:
         raise ValueError(f"{path} is another kind of tokenizer")
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-    return Vocabulary(model["vocab"], merges, model["end_of_word_suffix"], split, special)
+    merges_rank = {a + b: k for k, (a, b) in enumerate(merges)}
+    if len(merges_rank) < len(merges) or any(merges_rank.get(p, -1) >= k for k, m in enumerate(merges) for p in m):
+        raise ValueError(f"{path} has a token of two merges, or a merge before its parts")
+    return Vocabulary(model["vocab"], merges, model["end_of_word_suffix"], split, special, *odd_characters(path))
+
+
+@lru_cache
+def odd_characters(path: str) -> tuple[dict[str, str], dict[str, str]]:
+    """(stand-ins, lower cases) of the characters whose class or lower case differs between
+    the tokenizers library and ``regex`` and Python, which follow other Unicode versions.
+    Every character is shown to the library, between letters and between signs."""
+    library = Tokenizer.from_file(path)
+    assigned = regex.compile(r"[^\p{Cn}\p{Co}\p{Cs}]")
+    shown = [c for c in map(chr, range(128, 0x110000)) if assigned.match(c)]
+    text = " ".join(f"a{c}a !{c}!" for c in shown)
+    whole = {span for _, span in library.pre_tokenizer.pre_tokenize_str(text)}
+    classes = ((regex.compile(r"\p{L}"), "ª"), (regex.compile(r"\p{N}"), "²"), (regex.compile(r"\s"), " "), (regex.compile(r"."), "¶"))
+    stand_ins, lowers = {}, {}
+    for k, c in enumerate(shown):
+        at = 8 * k
+        if (at, at + 3) in whole:
+            real = "ª"
+        elif (at + 4, at + 7) in whole:
+            real = "¶"
+        else:
+            real = "²" if (at + 1, at + 2) in whole else " "
+        if real != next(mark for pattern, mark in classes if pattern.match(c)):
+            stand_ins[c] = real
+    folded = library.normalizer.normalize_str("\0".join(c for c in shown if c == unicodedata.normalize("NFC", c))).split("\0")
+    for c, low in zip((c for c in shown if c == unicodedata.normalize("NFC", c)), folded, strict=True):
+        if low != c.lower() and not c.isspace():
+            lowers[c] = low
+    return stand_ins, lowers
 
 
 def byte_characters() -> list[str]:
@@ -73,8 +117,6 @@ class TrieEncoder:
         self.suffix = vocabulary.suffix
         self.parts: dict[int, tuple[int, int]] = {}
         self.rank: dict[tuple[int, int], tuple[int, int]] = {}
-        reach: dict[str, int] = {}
-        self.made = set()
         for rank, (a, b) in enumerate(vocabulary.merges):
             pair = (self.ids[a], self.ids[b])
             whole = self.ids[a + b]
@@ -93,12 +135,65 @@ class TrieEncoder:
                 table[end] = self.ids.get(end + self.suffix if closing else end, -1)
         self.fits: dict[tuple[int, int], bool] = {}
         self.alone: dict[int, bool] = {}
+        #: Per token, the tokens at its right (left) edge, itself first, each with the
+        #: rank at which it was made and the one at which it was merged into the next.
+        self.right: dict[int, list[tuple[int, int, int]]] = {}
+        self.left: dict[int, list[tuple[int, int, int]]] = {}
+
+    def spine(self, token: int, side: int) -> list[tuple[int, int, int]]:
+        out, gone = [], NEVER
+        while token in self.parts:
+            made = self.rank[self.parts[token]][0]
+            out.append((token, made, gone))
+            token, gone = self.parts[token][side], made
+        out.append((token, -1, gone))
+        return out
+
+    def compatible(self, a: int, b: int) -> bool:
+        """Whether two tokens side by side stay so. Of the tokens at the border, the later
+        made is undone first; a merge of two joins them if it comes before both are
+        merged elsewhere, and at equal rank the pair further left goes first."""
+        found = self.fits.get((a, b))
+        if found is not None:
+            return found
+        rights = self.right.get(a)
+        if rights is None:
+            rights = self.right[a] = self.spine(a, 1)
+        lefts = self.left.get(b)
+        if lefts is None:
+            lefts = self.left[b] = self.spine(b, 0)
+        rank, i, j, found = self.rank, 0, 0, True
+        while True:
+            x, x_made, x_gone = rights[i]
+            y, y_made, y_gone = lefts[j]
+            merge = rank.get((x, y))
+            if merge is not None and merge[0] < x_gone and merge[0] <= y_gone:
+                found = False
+                break
+            if x_made > y_made:
+                i += 1
+            elif y_made >= 0:
+                j += 1
+            else:
+                break
+        if len(self.fits) > 4_000_000:
+            self.fits.clear()
+        self.fits[a, b] = found
+        return found
+
+    def stands(self, token: int) -> bool:
+        """Whether the token's own characters merge to it."""
+        known = self.alone.get(token)
+        if known is None:
+            known = token not in self.parts or self.merged(self.symbols(token)) == [token]
+            self.alone[token] = known
+        return known
 
     def merged(self, symbols: list[int]) -> list[int]:
         """Merge by rank, lowest first, leftmost first: the definition of the encoding."""
         symbols = list(symbols)
         while len(symbols) > 1:
-            best = min((self.rank.get(p, (1 << 60, -1)) for p in zip(symbols, symbols[1:], strict=False)), default=(1 << 60, -1))
+            best = min((self.rank.get(p, (NEVER, -1)) for p in zip(symbols, symbols[1:], strict=False)), default=(NEVER, -1))
             if best[1] < 0:
                 break
             out, k = [], 0
@@ -119,21 +214,6 @@ class TrieEncoder:
             return self.symbols(a) + self.symbols(b)
         return [token]
 
-    def stands(self, token: int) -> bool:
-        """Whether the token's own characters merge to it."""
-        if token not in self.alone:
-            self.alone[token] = self.merged(self.symbols(token)) == [token]
-        return self.alone[token]
-
-    def compatible(self, a: int, b: int) -> bool:
-        found = self.fits.get((a, b))
-        if found is None:
-            found = self.merged(self.symbols(a) + self.symbols(b)) == [a, b]
-            if len(self.fits) > 4_000_000:
-                self.fits.clear()
-            self.fits[a, b] = found
-        return found
-
     def _last(self, piece: str, end: int, table: dict[str, int], last: list[int]) -> tuple[int, int]:
         """(token, its length) that ends the encoding of ``piece[:end]``."""
         endings, size = [], 1
@@ -190,6 +270,10 @@ class Codec:
         self.encoder = TrieEncoder(vocabulary)
         self.pattern = regex.compile(vocabulary.pattern)
         self.special = vocabulary.special
+        self.stand_ins = str.maketrans(vocabulary.stand_ins)
+        self.lowers = vocabulary.lowers
+        odd = lambda found: regex.compile(f"[{''.join(map(regex.escape, found))}]" if found else "(?!)")
+        self.at_odd_class, self.at_odd_case = odd(vocabulary.stand_ins), odd(vocabulary.lowers)
         longest = sorted(vocabulary.special, key=len, reverse=True)
         self.at_special = regex.compile("|".join(map(regex.escape, longest)) or r"(?!)")
         self.shown = dict(enumerate(byte_characters()))
@@ -210,9 +294,19 @@ class Codec:
         return out + self._plain(text[at:])
 
     def _plain(self, text: str) -> list[str]:
-        text = lower_each(unicodedata.normalize("NFC", text))
+        text = unicodedata.normalize("NFC", text)
+        if not text.isascii() and self.at_odd_case.search(text):
+            text = "".join(self.lowers.get(c) or c.lower() for c in text)
+        else:
+            text = lower_each(text)
         # the separators that str.split takes for white space and the pattern does not
-        return self.pattern.findall(text) if SEPARATORS.search(text) else text.split()
+        return self.split(text) if SEPARATORS.search(text) else text.split()
+
+    def split(self, text: str) -> list[str]:
+        """The pieces of a text or word, by the library's classes of characters."""
+        if text.isascii() or not self.at_odd_class.search(text):
+            return self.pattern.findall(text)
+        return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(self.stand_ins))]
 
     def learn(self, texts: list[list[str]]) -> None:
         here = {w for t in texts for w in t}
@@ -222,11 +316,11 @@ class Codec:
                 kept = {w: table[w] for w in here - new}
                 table.clear()
                 table.update(kept)
-        pieces = {w: [w] if w in self.special or w.isalpha() else self.pattern.findall(w) for w in new}
+        pieces = {w: [w] if w in self.special or (w.isalpha() and w.isascii()) else self.split(w) for w in new}
         single = {p for found in pieces.values() for p in found} - self.raw.keys()
         shown = {"".join([self.shown[b] for b in p.encode()]): p for p in single if p not in self.special}
         for word, ids in self.encoder.encode_sorted(sorted(shown)):
-            self.raw[shown[word]] = np.array(ids, "<u4").tobytes()
+            self.raw[shown[word]] = struct.pack(f"<{len(ids)}I", *ids)
             self.back[shown[word]] = " ".join([self.names[i] for i in ids]).encode()
         for piece in single & self.special.keys():
             self.raw[piece] = np.array([self.special[piece]], "<u4").tobytes()

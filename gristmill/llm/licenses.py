@@ -32,7 +32,6 @@ from gristmill.llm.storage import written
 
 #: What stands between words once A-Z are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
 #: Most distinct words that all templates may have together.
 MOST_WORDS = 20_000
 _HITS = "array<struct<start:bigint,label:string>>"
@@ -89,8 +88,15 @@ def _phrase_hits(words: Column, phrases: dict[str, str]) -> Column:
     return F.when(F.size(words) > 0, F.concat(F.array().cast(_HITS), *hits)).otherwise(F.array()).cast(_HITS)
 
 
-def _phrase_pattern(phrases: dict[str, str]) -> str:
-    return "|".join(rf"(?<!{_WORD}){p.replace(' ', BETWEEN)}(?!{_WORD})" for p in phrases) or "(?!)"
+def _may_hold(low: Column, phrases: dict[str, str]) -> Column:
+    """Whether a text holds all words of a phrase somewhere: spares most texts the search."""
+    found = F.lit(False)
+    for phrase in phrases:
+        every = F.lit(True)
+        for word in sorted(set(phrase.split(" ")), key=len, reverse=True):
+            every = every & low.contains(word)
+        found = found | every
+    return found
 
 
 def _blocks(kept: Column, least: int) -> Column:
@@ -118,7 +124,7 @@ def _read(docs: DataFrame, text: str, templates: list[Template], phrases: dict[s
         split = F.transform(F.split(low, "\n", -1), lambda line: F.filter(F.split(line, BETWEEN, -1), lambda w: w != ""))
         return let(split, lambda lines: F.struct(
             F.aggregate(lines, F.lit(0).cast("bigint"), lambda n, ws: n + F.size(ws)).alias("n"),
-            F.when(low.rlike(_phrase_pattern(phrases)), let(F.flatten(lines), lambda ws: _phrase_hits(ws, phrases)))
+            F.when(_may_hold(low, phrases), let(F.flatten(lines), lambda ws: _phrase_hits(ws, phrases)))
             .otherwise(F.array().cast(_HITS)).alias("hits"),
             (let(F.transform(lines, lambda ws: F.when(F.size(ws) > 0, F.array_distinct(F.filter(ws, lambda w: w.isin(known))))),
                  lambda kept: _blocks(kept, least)) if known else F.array().cast("array<struct<first:int,last:int,words:array<string>>>")).alias("blocks")))

@@ -21,7 +21,7 @@ def test_every_code_point_as_the_library_does(vocabulary):
     library, codec = Tokenizer.from_file(PATH), bpe.Codec(vocabulary)
     points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     for k in range(0, len(points), 1 << 16):
-        texts = [f"a{c}b {c} !{c}?" for c in points[k : k + (1 << 16)]]
+        texts = [f"a{c}!{c}" for c in points[k : k + (1 << 16)]]
         wanted = library.encode_batch(texts, add_special_tokens=False)
         for c, (raw, _), e in zip(points[k:], codec.encode(texts), wanted, strict=False):
             assert raw == np.array(e.ids, "<u4").tobytes(), f"U+{ord(c):04X}"

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import struct
 import unicodedata
 import uuid
@@ -272,8 +273,7 @@ class Codec:
         self.special = vocabulary.special
         self.stand_ins = str.maketrans(vocabulary.stand_ins)
         self.lowers = vocabulary.lowers
-        odd = lambda found: regex.compile(f"[{''.join(map(regex.escape, found))}]" if found else "(?!)")
-        self.at_odd_class, self.at_odd_case = odd(vocabulary.stand_ins), odd(vocabulary.lowers)
+        self.at_odd_class, self.at_odd_case = any_of(vocabulary.stand_ins), any_of(vocabulary.lowers)
         longest = sorted(vocabulary.special, key=len, reverse=True)
         self.at_special = regex.compile("|".join(map(regex.escape, longest)) or r"(?!)")
         self.shown = dict(enumerate(byte_characters()))
@@ -316,7 +316,8 @@ class Codec:
                 kept = {w: table[w] for w in here - new}
                 table.clear()
                 table.update(kept)
-        pieces = {w: [w] if w in self.special or (w.isalpha() and w.isascii()) else self.split(w) for w in new}
+        odd = self.at_odd_class.search
+        pieces = {w: [w] if w in self.special or (w.isalpha() and (w.isascii() or not odd(w))) else self.split(w) for w in new}
         single = {p for found in pieces.values() for p in found} - self.raw.keys()
         shown = {"".join([self.shown[b] for b in p.encode()]): p for p in single if p not in self.special}
         for word, ids in self.encoder.encode_sorted(sorted(shown)):
@@ -341,6 +342,17 @@ class Codec:
             )
 
 
+def any_of(characters) -> re.Pattern:
+    """Pattern of one of the characters, as ranges."""
+    runs: list[list[int]] = []
+    for c in sorted(map(ord, characters)):
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]" if runs else "(?!)")
+
+
 def lower_each(text: str) -> str:
     """Lower case character by character, as tokenizers do it (a final sigma is not special)."""
     return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions.roles import quoted
+from gristmill.operators.spread import running_sums
 
-# The separator of a pair name and the limits of a pair.
+# The separator of a pair name and the share of an a-value's rows to cover.
 PAIR_SEPARATOR = "__x__"
 COVERAGE = 0.95
-MAX_COMBINATIONS = 10_000_000
 
 
 def pair_name(a: str, b: str) -> str:
@@ -45,13 +46,12 @@ def pair_counts(df: DataFrame, pairs: Sequence[Sequence[str]]) -> DataFrame:
 def combinations(counts: DataFrame) -> DataFrame:
     """Distinct value pairs per column pair. Values stay separate columns, so a
     value that holds a separator cannot merge two pairs."""
-    # naming the rows keeps the counts below alike for every reader, so they are shuffled once
-    sizes = counts.groupBy("pair").agg(F.count(F.lit(1)).alias("combinations"), F.sum("n").alias("rows"))
-    return sizes.where(F.col("rows") >= F.col("combinations")).select("pair", "combinations")
+    return counts.groupBy("pair").agg(F.count(F.lit(1)).alias("combinations"))
 
 
-def within_limit(counts: DataFrame, max_combinations: int = MAX_COMBINATIONS) -> DataFrame:
-    """Counts of the pairs that stay within the limit; the rest yield nothing.
+def within_limit(counts: DataFrame, max_combinations: int) -> DataFrame:
+    """Counts of the pairs of at most ``max_combinations`` value pairs; the rest yield
+    nothing. For callers that want such a limit: no other function sets one.
 
     The list of pairs comes from the caller, so the broadcast side has one row
     per pair named.
@@ -66,22 +66,22 @@ def with_totals(counts: DataFrame) -> DataFrame:
     return counts.join(totals, ["pair", "a"])
 
 
-def cross_coverage(
-    counts: DataFrame, coverage: float = COVERAGE, max_combinations: int = MAX_COMBINATIONS
-) -> DataFrame:
+def cross_coverage(counts: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """``(pair, a, b, rank, count, ratio)``: per a-value the most frequent
     b-values until ``coverage`` of that a-value's rows, crossing one included.
 
-    The windows run over value-pair counts of pairs within the limit, so one
-    group never exceeds ``max_combinations`` rows however hot the a-value is.
+    The counts are dealt by ranges of pair, a-value and rank, so an a-value with any
+    number of b-values is spread over tasks. Ties go to the smaller b-value.
     """
-    per_a = Window.partitionBy("pair", "a")
-    best = per_a.orderBy(F.desc("n"), "b")
-    return (
-        within_limit(counts, max_combinations)
-        .withColumn("rank", F.row_number().over(best))
-        .withColumn("before", F.sum("n").over(best.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
-        .withColumn("a_rows", F.sum("n").over(per_a))
-        .where(F.col("before") < F.lit(coverage) * F.col("a_rows"))
-        .select("pair", "a", "b", "rank", F.col("n").alias("count"), (F.col("n") / F.col("a_rows")).alias("ratio"))
+    numerator, denominator = Decimal(str(coverage)).as_integer_ratio()
+    amounts = {"rows": F.col("n"), "one": F.lit(1).cast("bigint")}
+    summed = running_sums(counts, ["pair", "a"], [F.desc("n"), F.col("b")], amounts)
+    short = F.col("rows_before") * F.lit(denominator) < F.col("rows_total") * F.lit(numerator)
+    return summed.where(short).select(
+        "pair",
+        "a",
+        "b",
+        (F.col("one_before") + 1).alias("rank"),
+        F.col("n").alias("count"),
+        (F.col("n") / F.col("rows_total")).alias("ratio"),
     )

@@ -86,21 +86,18 @@ def encoding_maps(
     return maps
 
 
-def encode_apply(
-    df: DataFrame, encoding: DataFrame, column: str, output: str, within_pair: bool = False
-) -> DataFrame:
+def encode_apply(df: DataFrame, encoding: DataFrame, column: str, output: str) -> DataFrame:
     """Ids from a feature's map, unknown and missing values to ``OTH``.
 
-    A plain map has at most 1,001 rows, so broadcasting it is bounded. The map
-    of a column within another may be far larger: with ``within_pair`` it is
-    written out first and Spark picks the join from its size.
+    A map may hold any number of values, so it is written out first and Spark picks
+    the join from its size.
     """
-    small = settled if within_pair else F.broadcast
+    encoding = settled(encoding.where(F.col("feature") == column))
     other = encoding.where((F.col("feature") == column) & (F.col("value") == OTHER)).select("id").scalar()
     known = encoding.where((F.col("feature") == column) & (F.col("value") != OTHER)).select(
         F.col("value").alias("_value"), F.col("id").alias("_id")
     )
-    joined = df.join(small(known), F.col(quoted(column)).cast("string") == F.col("_value"), "left")
+    joined = df.join(known, F.col(quoted(column)).cast("string") == F.col("_value"), "left")
     return joined.withColumn(output, F.coalesce("_id", other)).drop("_value", "_id")
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions.roles import quoted
+from gristmill.operators.lookup import settled
+from gristmill.operators.spread import running_sums
 
 
 def shared_rows(train: DataFrame, test: DataFrame) -> DataFrame:
@@ -37,9 +39,35 @@ def target_correlation(df: DataFrame, columns: Sequence[str], target: str) -> Da
     )
 
 
+def _mean_ranks(values: DataFrame) -> DataFrame:
+    """``(v, rank)`` of a column ``v``: places from 1, equal values share their mean place.
+
+    Equal values are counted first; the counts are summed along ranges of values, so
+    neither a very common value nor very many values meet in one task.
+    """
+    counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    summed = running_sums(counts, [], [F.col("v")], {"n": F.col("n")})
+    return summed.select("v", (F.col("n_before") + (F.col("n") + 1) / 2).alias("rank"))
+
+
+def rank_correlation(df: DataFrame, x: str, y: str) -> DataFrame:
+    """``(rank_correlation)``: the correlation of mean ranks over the rows where both
+    columns are present; NaN ranks last. Null with fewer than two different values on
+    either side."""
+    pairs = df.select(F.col(quoted(x)).alias("x"), F.col(quoted(y)).alias("y"))
+    pairs = pairs.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    x_ranks = settled(_mean_ranks(pairs.select(F.col("x").alias("v")))).select(F.col("v").alias("x"), F.col("rank").alias("x_rank"))
+    y_ranks = settled(_mean_ranks(pairs.select(F.col("y").alias("v")))).select(F.col("v").alias("y"), F.col("rank").alias("y_rank"))
+    # a value that fills much of the table makes the other side of its join small, or its partition is split
+    return pairs.join(x_ranks, "x").join(y_ranks, "y").agg(F.corr("x_rank", "y_rank").alias("rank_correlation"))
+
+
 def id_order(df: DataFrame, row_id: str, target: str) -> DataFrame:
-    """Does the id itself carry order that the target follows?"""
-    return target_correlation(df, [row_id], target).select(F.col("feature").alias("id_column"), "correlation")
+    """Does the id itself carry order that the target follows? ``(id_column, correlation,
+    rank_correlation)``: of the numbers, and of their mean ranks, which also shows an
+    order that is not a straight line."""
+    plain = target_correlation(df, [row_id], target).select(F.col("feature").alias("id_column"), "correlation")
+    return plain.withColumn("rank_correlation", rank_correlation(df, row_id, target).scalar())
 
 
 def encoding_gap(df: DataFrame, encoded: str, target: str, split: str = "split") -> DataFrame:

@@ -1,11 +1,11 @@
 """Past-only features of a time-ordered group: lag and rolling mean.
 
-A plain window over ``partition by group`` puts a whole group in one task. Here
-a group with many rows is cut into time segments, which become partitions of
-their own, and every segment receives the few rows that precede it. A feature
-that looks back ``k`` rows needs at most the last ``k`` rows before its segment,
-so the result is the same as that of the unsplit window. Other groups stay whole
-and take no part in the hand-over.
+A plain window over ``partition by group`` puts a whole group in one task. Here every
+row first gets its place in its group (``spread.running_sums``); places are cut into
+segments of equal length, so bursts and ties in time make no segment larger. A row near
+a segment's end is also handed to the next segment: a feature that looks back ``k`` rows
+needs at most the last ``k`` before its segment. All groups take this one way, and the
+result is that of the uncut window.
 """
 
 from __future__ import annotations
@@ -17,26 +17,9 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.roles import quoted
 from gristmill.functions.scalars import clock_micros
-from gristmill.operators.lookup import settled
+from gristmill.operators.spread import running_sums
 
-ROWS_PER_SEGMENT = 1_000_000
-_SPREAD = 4096
-
-
-def _cuts(df: DataFrame, group: str, moment: Column, rows_per_segment: int) -> DataFrame:
-    """``(_g, _low, _width, _parts)`` of the groups with more rows than a segment
-    should have: at most one group per ``rows_per_segment`` rows of the table."""
-    sizes = (
-        df.where(F.col(quoted(group)).isNotNull())
-        .groupBy(F.col(quoted(group)).alias("_g"))
-        .agg(F.count(F.lit(1)).alias("_rows"), F.min(moment).alias("_low"), F.max(moment).alias("_high"))
-    )
-    return sizes.where(F.col("_rows") > rows_per_segment).select(
-        "_g",
-        "_low",
-        F.greatest(F.col("_high") - F.col("_low"), F.lit(1)).alias("_width"),
-        F.ceil(F.col("_rows") / rows_per_segment).alias("_parts"),
-    )
+ROWS_PER_SEGMENT = 100_000
 
 
 def past_features(
@@ -54,69 +37,29 @@ def past_features(
     ``order`` is a timestamp, ``tie`` makes the order total. Lags repeat the
     earlier row's value, null or not; a rolling mean takes the present values
     of the ``k`` rows before the current one (null when there are none). Rows
-    without a group get nulls and are spread over many partitions. Segments are
-    equal spans of a group's time, so bursts make some larger than others.
+    without a group get nulls and take no part.
     """
     reach = max([*lags, *windows])
+    length = max(rows_per_segment, reach)
+    columns = [quoted(c) for c in df.columns]
+    names = [*[f"{value}_lag{k}" for k in lags], *[f"{value}_roll{k}" for k in windows]]
     g, v = F.col(quoted(group)), F.col(quoted(value))
     moment = clock_micros(F.col(quoted(order)), df.schema[order].dataType)
 
-    cuts = settled(_cuts(df, group, moment, rows_per_segment))
-    place = F.floor((F.col("_t") - F.col("_low")) / F.col("_width") * F.col("_parts"))
-    lost = F.pmod(F.xxhash64(F.col(quoted(tie))), F.lit(_SPREAD))
-    segment = F.when(g.isNull(), lost).otherwise(F.coalesce(place, F.lit(0))).alias("_seg")
-    cut = (
-        df.withColumn("_t", moment)
-        .join(cuts, g == F.col("_g"), "left")
-        .select(*[quoted(c) for c in df.columns], "_t", segment, F.col("_parts").isNotNull().alias("_split"))
+    grouped = df.where(g.isNotNull()).select(*columns, moment.alias("_t"))
+    placed = running_sums(grouped, [group], [F.col("_t"), F.col(quoted(tie))], {"_at": F.lit(1).cast("bigint")})
+    segment, into = F.floor(F.col("_at_before") / length), F.col("_at_before") % length
+    # the last rows of a segment also stand before the next one
+    later = (into >= length - reach) & (F.col("_at_before") + (length - into) < F.col("_at_total"))
+    shares = F.array(F.struct(segment.alias("seg"), F.lit(True).alias("own")))
+    both = F.array(
+        F.struct(segment.alias("seg"), F.lit(True).alias("own")), F.struct((segment + 1).alias("seg"), F.lit(False).alias("own"))
     )
-
-    here = [g, F.col("_seg")]
-    ordered = [F.col("_t"), F.col(quoted(tie))]
-    # the last rows of every segment of a split group: a rank limit, applied before the shuffle
-    tails = (
-        cut.where("_split")
-        .withColumn("_back", F.row_number().over(Window.partitionBy(*here).orderBy(*[o.desc() for o in ordered])))
-        .where(F.col("_back") <= reach)
-        .select(g.alias("_g"), "_seg", "_t", F.col(quoted(tie)).alias("_tie"), v.alias("_v"))
-    )
-    # which later segments need this row: those that begin within its next `reach` tail rows
-    along = Window.partitionBy("_g").orderBy("_t", "_tie")
-    halos = (
-        tails.withColumn("_later", F.collect_set("_seg").over(along.rowsBetween(1, reach)))
-        .select("_g", "_seg", "_t", "_tie", "_v", F.explode("_later").alias("_for"))
-        .where(F.col("_for") != F.col("_seg"))
-        .groupBy("_g", "_for")
-        .agg(F.sort_array(F.collect_list(F.struct("_t", "_tie", "_v"))).alias("_halo"))
-        .select(
-            F.col("_g").alias("_hg"),
-            F.col("_for").alias("_hseg"),
-            F.slice("_halo", F.greatest(F.size("_halo") - reach + 1, F.lit(1)), reach)["_v"].alias("_halo"),
-        )
-    )
-    nothing = F.array().cast(f"array<{df.schema[value].dataType.simpleString()}>")
-    joined = cut.join(settled(halos), (g == F.col("_hg")) & (F.col("_seg") == F.col("_hseg")), "left").withColumn(
-        "_halo", F.coalesce("_halo", nothing)
-    )
-
-    w = Window.partitionBy(*here).orderBy(*ordered)
-    result = joined.withColumn("_n", F.row_number().over(w) - 1)
-    features: list[Column] = []
-    for k in lags:
-        inside = F.lag(v, k).over(w)
-        # fewer than k rows before this one in its segment: count back into the halo
-        behind = F.size("_halo") - (F.lit(k) - F.col("_n"))
-        carried = F.when(behind >= 0, F.get("_halo", behind))
-        features.append(F.when(g.isNotNull(), F.when(F.col("_n") >= k, inside).otherwise(carried)).alias(f"{value}_lag{k}"))
-    for k in windows:
-        past = w.rowsBetween(-k, -1)
-        need = F.greatest(F.lit(k) - F.col("_n"), F.lit(0)).cast("int")
-        extra = F.filter(
-            F.slice("_halo", F.greatest(F.size("_halo") - need + 1, F.lit(1)), need), lambda e: e.isNotNull()
-        )
-        total = F.coalesce(F.sum(v.cast("double")).over(past), F.lit(0.0)) + F.aggregate(
-            extra, F.lit(0.0), lambda a, e: a + e.cast("double")
-        )
-        present = F.coalesce(F.count(v).over(past), F.lit(0)) + F.size(extra)
-        features.append(F.when(g.isNotNull(), F.try_divide(total, present)).alias(f"{value}_roll{k}"))
-    return result.select(*[quoted(c) for c in df.columns], *features)
+    dealt = placed.select(*columns, "_at_before", F.explode(F.when(later, both).otherwise(shares)).alias("_s"))
+    w = Window.partitionBy(g, F.col("_s.seg")).orderBy("_at_before")
+    features: list[Column] = [F.lag(v, k).over(w).alias(f"{value}_lag{k}") for k in lags]
+    features += [F.avg(v.cast("double")).over(w.rowsBetween(-k, -1)).alias(f"{value}_roll{k}") for k in windows]
+    made = dealt.select(*columns, "_s", *features).where("_s.own").drop("_s")
+    kinds = {f.name: f.dataType for f in made.schema}
+    lost = df.where(g.isNull()).select(*columns, *[F.lit(None).cast(kinds[n]).alias(n) for n in names])
+    return made.unionByName(lost)

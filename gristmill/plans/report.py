@@ -1,7 +1,8 @@
 """Config maps and report tables, from profile tables only.
 
 Nothing here reads the source again: every input has a row per feature, per
-kept value (at most 1,000 a feature) or per kept value pair.
+kept value or per kept value pair. A report shows the first features and values;
+how many is a parameter, and None shows all.
 """
 
 from __future__ import annotations
@@ -13,8 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions import scalars
+from gristmill.operators.numeric import PROFILE_COLUMNS
 
-# Rows shown per report table and values shown per cell.
+# Features shown per report table and values shown per cell, unless asked otherwise.
 REPORT_FEATURES = 10
 REPORT_VALUES = 3
 PREVIEW_VALUES = 10
@@ -33,8 +35,18 @@ def fill_strategies(cat: DataFrame) -> DataFrame:
     return cat.select("feature", scalars.fill_strategy(F.col("null_ratio")).alias("strategy"))
 
 
-def analyze(num: DataFrame, cat: DataFrame) -> DataFrame:
-    """One row per feature with every recommendation that applies to its kind."""
+def analyze(num: DataFrame, cat: DataFrame, top: DataFrame | None = None, values: int = PREVIEW_VALUES) -> DataFrame:
+    """One row per feature with what applies to its kind: the figures and the
+    recommendations, and the ``values`` most frequent values with their shares where
+    ``top`` is given."""
+    leading = None
+    if top is not None:
+        entries = F.array_sort(F.array_agg(F.struct("rank", "value", "ratio")))
+        leading = top.where(F.col("rank") <= values).groupBy("feature").agg(
+            F.transform(entries, lambda e: e["value"]).alias("top_categories"),
+            F.transform(entries, lambda e: e["ratio"]).alias("top_ratios"),
+        )
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
     reason = scalars.drop_reason(F.col("null_ratio"), F.col("nunique"), F.col("zero_ratio"))
     numeric = num.select(
         "feature",
@@ -42,19 +54,24 @@ def analyze(num: DataFrame, cat: DataFrame) -> DataFrame:
         "nunique",
         "null_ratio",
         "zero_ratio",
+        *[F.col(c) for c in ("mean", "std", "min", "max")],
         reason.alias("drop_reason"),
-        F.lit(None).cast("bigint").alias("embedding_dim"),
-        F.lit(None).cast("string").alias("fill_strategy"),
+        none("bigint", "embedding_dim"),
+        none("string", "fill_strategy"),
+        *([none("array<string>", "top_categories"), none("array<double>", "top_ratios")] if leading is not None else []),
     )
-    categorical = cat.select(
+    # one row per column on either side
+    shown = cat.join(F.broadcast(leading), "feature", "left") if leading is not None else cat
+    categorical = shown.select(
         "feature",
         F.lit("categorical").alias("kind"),
         "nunique",
         "null_ratio",
-        F.lit(None).cast("double").alias("zero_ratio"),
-        F.lit(None).cast("string").alias("drop_reason"),
+        *[none("double", c) for c in ("zero_ratio", "mean", "std", "min", "max")],
+        none("string", "drop_reason"),
         scalars.embedding_dim(F.col("nunique")).alias("embedding_dim"),
         scalars.fill_strategy(F.col("null_ratio")).alias("fill_strategy"),
+        *(["top_categories", "top_ratios"] if leading is not None else []),
     )
     return numeric.unionByName(categorical)
 
@@ -85,21 +102,21 @@ def std_params(num: DataFrame) -> DataFrame:
 
 
 def _listed(entries: Column, limit: int, show) -> Column:
-    """Texts of the first ``limit`` entries of an array of ranked structs."""
+    """Texts of the first ``limit`` entries of an array of structs, by their first field."""
     return F.transform(F.slice(F.array_sort(entries), 1, limit), show)
 
 
-def flatten_cat(cat: DataFrame, top: DataFrame) -> DataFrame:
-    """One row per feature with its ten most frequent values as text."""
+def flatten_cat(cat: DataFrame, top: DataFrame, values: int = PREVIEW_VALUES) -> DataFrame:
+    """One row per feature with its ``values`` most frequent values as text."""
     entry = F.struct("rank", "value", "count", "ratio")
     preview = _listed(
         F.array_agg(entry),
-        PREVIEW_VALUES,
+        values,
         lambda e: F.concat(
             e["value"], F.lit(": "), e["count"].cast("string"), F.lit(" ("), scalars.decimals(e["ratio"], 4), F.lit(")")
         ),
     )
-    shown = top.where(F.col("rank") <= PREVIEW_VALUES).groupBy("feature").agg(
+    shown = top.where(F.col("rank") <= values).groupBy("feature").agg(
         F.array_join(preview, "; ").alias("top10_preview")
     )
     return cat.join(F.broadcast(shown), "feature", "left").select(
@@ -113,27 +130,28 @@ def flatten_cat(cat: DataFrame, top: DataFrame) -> DataFrame:
 
 
 def flatten_num(num: DataFrame) -> DataFrame:
-    """The numeric profile is flat already; group medians live in their own table."""
-    return num
+    """One row per feature, the figures alone: whatever else a caller has joined to the
+    profile, such as the medians of groups, stays out."""
+    return num.select(*PROFILE_COLUMNS)
 
 
-def flatten_cross(cross: DataFrame) -> DataFrame:
-    """Per pair: a-values, kept items, and a preview of three a-values with three
+def flatten_cross(cross: DataFrame, values: int = REPORT_VALUES) -> DataFrame:
+    """Per pair: a-values, kept items, and a preview of ``values`` a-values with as many
     items each. a-values come by their largest count, ties by value."""
     totals = cross.groupBy("pair", "a").agg(
         F.count(F.lit(1)).alias("items"),
         F.max("count").alias("top"),
         F.array_agg(
-            F.when(F.col("rank") <= REPORT_VALUES, F.struct("rank", "b", "ratio"))
+            F.when(F.col("rank") <= values, F.struct("rank", "b", "ratio"))
         ).alias("first"),
     )
     lead = Window.partitionBy("pair").orderBy(F.desc("top"), "a")
     texts = _listed(
-        F.array_compact("first"), REPORT_VALUES, lambda e: F.concat(e["b"], F.lit("("), scalars.decimals(e["ratio"], 4), F.lit(")"))
+        F.array_compact("first"), values, lambda e: F.concat(e["b"], F.lit("("), scalars.decimals(e["ratio"], 4), F.lit(")"))
     )
     shown = (
         totals.withColumn("place", F.row_number().over(lead))
-        .where(F.col("place") <= REPORT_VALUES)
+        .where(F.col("place") <= values)
         .withColumn("text", F.concat("a", F.lit(": ["), F.array_join(texts, ", "), F.lit("]")))
         .groupBy("pair")
         .agg(F.array_sort(F.array_agg(F.struct("place", "text"))).alias("parts"))
@@ -151,13 +169,32 @@ def _place(features: Sequence[str]) -> Column:
     return F.array_position(F.array(*[F.lit(f) for f in features]), F.col("feature")).cast("bigint")
 
 
-def report_rows(num: DataFrame, cat: DataFrame, top: DataFrame, num_order: Sequence[str], cat_order: Sequence[str]) -> DataFrame:
+def report_rows(
+    num: DataFrame,
+    cat: DataFrame,
+    top: DataFrame,
+    num_order: Sequence[str],
+    cat_order: Sequence[str],
+    features: int | None = REPORT_FEATURES,
+    values: int = REPORT_VALUES,
+) -> DataFrame:
     """``(section, position, line)``: the report's tables, one row per line.
 
-    The first ten features of each kind in table order; features left out of
-    the drop list do not appear there. Missing numbers give empty cells.
+    First the number of features of each kind. Then the first ``features`` of each kind
+    in table order (all for None); the drop list names every feature it applies to.
+    Missing numbers give empty cells.
     """
+    last = max(len(num_order), len(cat_order), 1) if features is None else features
     parts = []
+    for position, (kind, table, order) in enumerate((("numeric", num, num_order), ("categorical", cat, cat_order)), 1):
+        if order:
+            parts.append(
+                table.agg(F.count(F.lit(1)).cast("string").alias("n")).select(
+                    F.lit("features").alias("section"),
+                    F.lit(position).cast("bigint").alias("position"),
+                    F.concat(F.lit(f"- {kind}: "), "n").alias("line"),
+                )
+            )
     if num_order:
         place = _place(num_order)
         two = [scalars.decimals(F.col(c), 2) for c in ("mean", "std", "min", "max")]
@@ -169,7 +206,7 @@ def report_rows(num: DataFrame, cat: DataFrame, top: DataFrame, num_order: Seque
             )
         )
         parts.append(
-            num.where(place <= REPORT_FEATURES).select(
+            num.where(place <= last).select(
                 F.lit("numeric").alias("section"),
                 place.alias("position"),
                 _row(
@@ -183,10 +220,10 @@ def report_rows(num: DataFrame, cat: DataFrame, top: DataFrame, num_order: Seque
         )
     if cat_order:
         place = _place(cat_order)
-        first = top.where(F.col("rank") <= REPORT_VALUES).groupBy("feature").agg(
+        first = top.where(F.col("rank") <= values).groupBy("feature").agg(
             F.array_sort(F.array_agg(F.struct("rank", "value", "ratio"))).alias("first")
         )
-        shown = cat.where(place <= REPORT_FEATURES).join(F.broadcast(first), "feature", "left")
+        shown = cat.where(place <= last).join(F.broadcast(first), "feature", "left")
         values = F.array_join(F.transform("first", lambda e: e["value"]), ", ")
         shares = F.array_join(F.transform("first", lambda e: scalars.percent(e["ratio"], 1)), ", ")
         parts.append(
@@ -203,7 +240,7 @@ def report_rows(num: DataFrame, cat: DataFrame, top: DataFrame, num_order: Seque
             )
         )
         parts.append(
-            embedding_dims(cat).where(place <= REPORT_FEATURES).select(
+            embedding_dims(cat).where(place <= last).select(
                 F.lit("embedding").alias("section"),
                 place.alias("position"),
                 _row(F.col("feature"), F.col("nunique").cast("string"), F.col("embedding_dim").cast("string")).alias("line"),

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 import random
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,12 +17,15 @@ from gristmill.functions.roles import quoted
 
 FILE_TYPES = ("parquet", "csv")
 
-# CSV words that mean "missing", and the rows read for inference.
+#: A profile scan reads only empty fields as missing: without quotes they always are, with
+#: quotes where the words say so.
+EMPTY_ONLY = [""]
+QUOTED_EMPTY = "\u0001"
+# Words that mean "missing" in the tables of a feature job.
 MISSING_WORDS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
     "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
-INFERENCE_ROWS = 100_000
 
 
 def _checked(file_type: str) -> str:
@@ -41,9 +46,9 @@ def list_files(
         # a listing only: the schema is given, so no file is opened
         found = reader.schema("value string").text(directory).inputFiles()
     except AnalysisException as error:
-        raise FileNotFoundError(f"no {name} files matching {pattern} in {directory}") from error
+        raise FileNotFoundError(f"{directory}: nothing there that {pattern} names ({name})") from error
     if not found:
-        raise FileNotFoundError(f"no {name} files matching {pattern} in {directory}")
+        raise FileNotFoundError(f"{directory}: nothing there that {pattern} names ({name})")
     return sorted(found)
 
 
@@ -78,37 +83,86 @@ def scan_parquet(
     try:
         table = reader.parquet(*([source] if isinstance(source, str) else source))
     except AnalysisException as error:
-        raise FileNotFoundError(f"no parquet files matching {pattern} in {source}") from error
+        raise FileNotFoundError(f"{source}: nothing there that {pattern} names (parquet)") from error
     return table.select(*[quoted(c) for c in columns]) if columns else table
 
 
-def infer_csv_schema(spark: SparkSession, files: Sequence[str]) -> T.StructType:
-    """Column types from the first rows of the first file (a bounded read).
+def _headers(spark: SparkSession, files: Sequence[str]) -> dict[tuple[str, ...], list[str]]:
+    """Column names, in the order of the file, and the files that have them so.
 
-    The narrowest of whole number, double and boolean that fits every value
-    that is not a missing word; text otherwise.
+    A file's header is its first line. Tasks find it; a line per file reaches the
+    driver, which holds the list of files anyway.
     """
-    head = spark.read.option("header", True).option("escape", '"').csv(files[0]).limit(INFERENCE_ROWS)
+    lines = spark.read.text(list(files)).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("at"),
+        "value",
+    )
+    first = lines.groupBy("path").agg(F.min_by("value", "at").alias("line"))
+    listed = first.agg(F.sort_array(F.collect_list(F.struct("path", "line"))).alias("files")).first()["files"]
+    found: dict[tuple[str, ...], list[str]] = {}
+    for path, line in listed:
+        names = tuple(next(csv.reader([line.removeprefix("\ufeff").rstrip("\r")])))
+        found.setdefault(names, []).append(path)
+    return found
+
+
+def read_csv_text(spark: SparkSession, files: Sequence[str], multi_line: bool = True) -> DataFrame:
+    """The fields of CSV files as text, and ``_file``. Each file's columns are told by
+    its own header, so their order may differ; other columns than the first file's are
+    an error that names the files. With ``multi_line`` quoted fields may hold line
+    breaks, and a file is read by one task; without, large files are split."""
+    headers = _headers(spark, files)
+    if not headers:
+        raise FileNotFoundError(f"no line in {list(files)[:3]}")
+    columns = next(names for names, paths in headers.items() if min(min(p) for p in headers.values()) in paths)
+    if len(set(columns)) < len(columns):
+        raise ValueError(f"columns named twice: {columns}")
+    other = {paths[0]: names for names, paths in headers.items() if sorted(names) != sorted(columns)}
+    if other:
+        raise ValueError(f"files of one table have other columns than {list(columns)}: {other}")
+    parts = []
+    for names, paths in headers.items():
+        texts = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        reader = spark.read.schema(texts).option("header", True).option("escape", '"').option("multiLine", multi_line)
+        table = reader.option("enforceSchema", True).option("emptyValue", QUOTED_EMPTY).csv(paths)
+        cells = [F.when(F.col(quoted(c)) == QUOTED_EMPTY, "").otherwise(F.col(quoted(c))).alias(c) for c in columns]
+        parts.append(table.select(*cells, F.col("_metadata.file_path").alias("_file")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _present(text: Column, missing: Sequence[str]) -> Column:
+    return F.when(~text.isin(*missing), text)
+
+
+def infer_csv_schema(texts: DataFrame, missing: Sequence[str] = EMPTY_ONLY) -> T.StructType:
+    """Column types from all rows of ``read_csv_text``.
+
+    The narrowest of whole number, double and boolean that fits every present value;
+    text otherwise, and for columns without one. One aggregation of three flags per
+    column, which combine over rows, files and tasks.
+    """
+    columns = [c for c in texts.columns if c != "_file"]
     fits = {
         "bigint": lambda c: c.try_cast("bigint").isNotNull(),
         "double": lambda c: c.try_cast("double").isNotNull(),
         "boolean": lambda c: F.lower(c).isin("true", "false"),
     }
     checks = [F.lit(True)]
-    for i, name in enumerate(head.columns):
-        value = _present(F.col(quoted(name)))
+    for i, name in enumerate(columns):
+        value = _present(F.col(quoted(name)), missing)
         checks += [F.bool_and(F.when(value.isNotNull(), test(value))).alias(f"{kind}{i}") for kind, test in fits.items()]
-    seen = head.agg(*checks).first()
+    seen = texts.agg(*checks).first()
     types = {"bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
     fields = []
-    for i, name in enumerate(head.columns):
+    for i, name in enumerate(columns):
         kind = next((types[k] for k in fits if seen[f"{k}{i}"]), T.StringType())
         fields.append(T.StructField(name, kind))
     return T.StructType(fields)
 
 
-def _present(text: Column) -> Column:
-    return F.when(~text.isin(*MISSING_WORDS), text)
+def _csv_files(spark: SparkSession, source: str | Sequence[str], recursive: bool) -> list[str]:
+    return list_files(spark, source, "csv", recursive=recursive) if isinstance(source, str) else list(source)
 
 
 def scan_csv(
@@ -117,18 +171,37 @@ def scan_csv(
     schema: T.StructType | None = None,
     columns: Sequence[str] | None = None,
     recursive: bool = True,
+    missing: Sequence[str] = EMPTY_ONLY,
+    multi_line: bool = True,
 ) -> DataFrame:
-    """CSV files with a header as one table, under one schema inferred once.
+    """CSV files with a header as one table under one schema, by default the narrowest
+    that fits all rows of all files.
 
-    Fields are read as text, missing words become null, then each column is
-    cast; a value that does not fit its column's type becomes null.
+    Fields are read as text, ``missing`` words become null, then each column is cast.
+    A value that does not fit a given ``schema`` becomes null; ``csv_misfits`` lists them.
     """
-    files = list_files(spark, source, "csv", recursive=recursive) if isinstance(source, str) else list(source)
-    schema = schema or infer_csv_schema(spark, files)
-    texts = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
-    raw = spark.read.schema(texts).option("header", True).option("escape", '"').csv(files)
+    texts = read_csv_text(spark, _csv_files(spark, source, recursive), multi_line)
+    schema = schema or infer_csv_schema(texts, missing)
     fields = [f for f in schema if columns is None or f.name in columns]
-    return raw.select(*[_present(F.col(quoted(f.name))).try_cast(f.dataType).alias(f.name) for f in fields])
+    return texts.select(*[_present(F.col(quoted(f.name)), missing).try_cast(f.dataType).alias(f.name) for f in fields])
+
+
+def csv_misfits(
+    spark: SparkSession,
+    source: str | Sequence[str],
+    schema: T.StructType,
+    recursive: bool = True,
+    missing: Sequence[str] = EMPTY_ONLY,
+    multi_line: bool = True,
+) -> DataFrame:
+    """``(file, column, value)``: the present values that do not fit ``schema``."""
+    texts = read_csv_text(spark, _csv_files(spark, source, recursive), multi_line)
+    cells = []
+    for field in schema:
+        value = _present(F.col(quoted(field.name)), missing)
+        bad = value.isNotNull() & value.try_cast(field.dataType).isNull()
+        cells.append(F.when(bad, F.struct(F.lit(field.name).alias("column"), value.alias("value"))))
+    return texts.select(F.col("_file").alias("file"), F.inline(F.array_compact(F.array(*cells))))
 
 
 def sample_files(files: Sequence[str], ratio: float, seed: int = 42) -> list[str]:
@@ -147,34 +220,10 @@ def sample_rows(df: DataFrame, key: str, ratio: float) -> DataFrame:
     return df.where(bucket_of(F.col(quoted(key)), 10_000) < round(ratio * 10_000))
 
 
-def dataset_fingerprints(spark: SparkSession, directory: str, file_type: str = "parquet") -> DataFrame:
-    """``(path, size, fingerprint)`` per file, sizes from the file listing.
-
-    Column count, the first three names and the size identify a file; contents
-    are not read beyond each file's schema.
-    """
-    files = list_files(spark, directory, file_type)
-    names = []
-    for path in files:
-        if file_type == "parquet":
-            columns = spark.read.parquet(path).columns
-        else:
-            columns = spark.read.option("header", True).csv(path).columns
-        names.append((path, len(columns), "_".join(columns[:3])))
-    described = spark.createDataFrame(names, "path string, n_columns int, head string")
-    sizes = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", f"*.{file_type}")
-        .load(directory)
-        .select(_bare(F.col("path")).alias("_p"), F.col("length").alias("size"))
-    )
-    text = F.concat_ws("_", F.lit(file_type), F.col("n_columns"), F.col("head"), F.col("size"))
-    return sizes.join(described, F.col("_p") == _bare(F.col("path"))).select(
-        "path", "size", F.substring(F.md5(text.cast("binary")), 1, 12).alias("fingerprint")
-    )
-
-
-def _bare(path: Column) -> Column:
-    """A path without its ``scheme:`` and repeated leading slashes."""
-    return F.regexp_replace(F.regexp_replace(path, r"^[a-z0-9]+:", ""), r"^/+", "/")
+def dataset_fingerprint(name: str, table: DataFrame) -> DataFrame:
+    """``(dataset, n_rows, fingerprint)``: a short stable id from the number of columns,
+    the first three names and the number of rows of a table."""
+    head = "_".join([str(len(table.columns)), *table.columns[:3]])
+    counted = table.agg(F.count(F.lit(1)).alias("n_rows"))
+    text = F.concat_ws("_", F.lit(head), "n_rows")
+    return counted.select(F.lit(name).alias("dataset"), "n_rows", F.substring(F.md5(text.cast("binary")), 1, 12).alias("fingerprint"))

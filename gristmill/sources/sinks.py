@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from gristmill.operators import journal as journal_ops
 
-NUM, CAT, CROSS, MEDIANS = "num_features", "cat_features", "cross_cat_features", "group_medians"
+NUM, CAT, TOP, CROSS, MEDIANS = "num_features", "cat_features", "cat_top_values", "cross_cat_features", "group_medians"
+ENCODING, FILLS, STATS, EMBEDDINGS = "encoding_map", "fill_na_map", "numerical_stats", "embedding_dims"
 
 # Schemas of the written lines.
 _NUM = (
@@ -18,19 +19,20 @@ _NUM = (
 )
 _CAT = (
     "feature string, nunique bigint, null_count bigint, null_ratio double, skipped boolean, coverage double, "
-    "items_kept bigint, top_values array<struct<value string, rank int, count bigint, ratio double>>"
+    "items_kept bigint"
 )
-_CROSS = "pair string, a string, b string, rank int, count bigint, ratio double"
+_TOP = "feature string, value string, rank bigint, count bigint, ratio double"
+_CROSS = "pair string, a string, b string, rank bigint, count bigint, ratio double"
 _MEDIANS = "feature string, `group` string, median double"
 
 
-def nested_categorical(summary: DataFrame, top: DataFrame) -> DataFrame:
-    """Summary rows with their (at most 1,000) kept values as an ordered array."""
-    entries = F.array_sort(F.array_agg(F.struct("rank", "value", "count", "ratio")))
-    ordered = F.transform(entries, lambda e: F.struct(e["value"].alias("value"), e["rank"].alias("rank"), e["count"].alias("count"), e["ratio"].alias("ratio")))
-    nested = top.groupBy("feature").agg(ordered.alias("top_values"))
-    empty = F.array().cast("array<struct<value:string,rank:int,count:bigint,ratio:double>>")
-    return summary.join(F.broadcast(nested), "feature", "left").withColumn("top_values", F.coalesce("top_values", empty))
+#: The maps made from a profile, by file name.
+MAPS = {
+    ENCODING: "feature string, value string, id bigint",
+    FILLS: "feature string, kind string, fill_value string",
+    STATS: "feature string, mean double, std double",
+    EMBEDDINGS: "feature string, nunique bigint, embedding_dim bigint",
+}
 
 
 def write_profile_json(
@@ -40,38 +42,57 @@ def write_profile_json(
     cross: DataFrame | None = None,
     medians: DataFrame | None = None,
 ) -> None:
-    """JSON lines: one per numeric feature, one per categorical feature with its
-    top values, one per kept value pair, one per feature and group. Pairs and
-    groups grow with the data, so they are never folded into one document."""
-    nested = None if cat is None else nested_categorical(*cat)
-    for name, part in ((NUM, num), (CAT, nested), (CROSS, cross), (MEDIANS, medians)):
+    """JSON lines: one per numeric feature, per categorical feature, per kept value,
+    per kept value pair, and per feature and group. Whatever grows with the data is
+    a line of its own, never folded into one document."""
+    summary, top = cat or (None, None)
+    for name, part in ((NUM, num), (CAT, summary), (TOP, top), (CROSS, cross), (MEDIANS, medians)):
         if part is not None:
-            part.write.mode("overwrite").json(f"{directory}/{name}")
+            _write_lines(part, f"{directory}/{name}")
+
+
+def _write_lines(part: DataFrame, path: str) -> None:
+    part.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def _read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The written lines; none were written: an empty table."""
+    try:
+        return spark.read.schema(schema).json(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
 
 
 def read_profile(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
     """The written profile; a part that was not written is an empty table."""
+    parts = {"num": (NUM, _NUM), "cat": (CAT, _CAT), "top": (TOP, _TOP), "cross": (CROSS, _CROSS), "medians": (MEDIANS, _MEDIANS)}
+    return {name: _read_lines(spark, f"{directory}/{file}", schema) for name, (file, schema) in parts.items()}
+
+
+def write_maps(directory: str, **maps: DataFrame) -> None:
+    """The maps named in ``MAPS`` as JSON lines, one per entry."""
+    for name, table in maps.items():
+        columns = [c.split(" ")[0] for c in MAPS[name].split(", ")]
+        _write_lines(table.select(*columns), f"{directory}/{name}")
+
+
+def read_maps(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
+    """The written maps; one that was not written is an empty table."""
+    return {name: _read_lines(spark, f"{directory}/{name}", schema) for name, schema in MAPS.items()}
 
-    def part(name: str, schema: str) -> DataFrame:
-        try:
-            return spark.read.schema(schema).json(f"{directory}/{name}")
-        except AnalysisException:
-            return spark.createDataFrame([], schema)
 
-    cat = part(CAT, _CAT)
-    return {
-        "num": part(NUM, _NUM),
-        "cat": cat.drop("top_values"),
-        "top": cat.select("feature", F.inline("top_values")),
-        "cross": part(CROSS, _CROSS),
-        "medians": part(MEDIANS, _MEDIANS),
-    }
+def write_csv(table: DataFrame, path: str) -> None:
+    """A CSV directory with a header. Blanks at either end of a text and line breaks in
+    it are kept; an empty text is written as ``""``, a null as nothing."""
+    writer = table.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", '""')
+    writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    writer.csv(path)
 
 
 def write_features_csv(train: DataFrame, test: DataFrame, directory: str) -> None:
-    """Engineered tables as CSV directories with a header."""
+    """Engineered tables as CSV directories."""
     for name, table in (("train_engineered", train), ("test_engineered", test)):
-        table.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{directory}/{name}")
+        write_csv(table, f"{directory}/{name}")
 
 
 def _by_task(table: DataFrame) -> DataFrame:

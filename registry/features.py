@@ -69,7 +69,11 @@ def lag_feature(spark, d):
 
 
 def rolling_mean_past(spark, d):
-    made = timeline.past_features(event_gaps(spark, d), "user_id", "ts", "event_id", "value", windows=[7])
+    # half of all rows share one second
+    burst = F.when(F.col("event_id") % 2 == 0, F.to_timestamp_ntz(F.lit("2024-03-01 00:00:00"))).otherwise(F.col("ts").cast("timestamp_ntz"))
+    made = timeline.past_features(
+        event_gaps(spark, d).withColumn("ts", burst), "user_id", "ts", "event_id", "value", windows=[7], rows_per_segment=50
+    )
     return rounded(made.select("event_id", "user_id", "value_roll7"), "value_roll7")
 
 
@@ -186,6 +190,10 @@ _PAST = f"""select event_id, user_id,
     lag(value) over w as value_lag1,
     avg(value) over (partition by user_id order by ts, event_id rows between 7 preceding and 1 preceding) as roll
     from ({EVENT_GAPS_SQL}) window w as (partition by user_id order by ts, event_id)"""
+_PAST_BURST = f"""select event_id, user_id,
+    avg(value) over (partition by user_id order by case when event_id % 2 = 0 then timestamp '2024-03-01' else ts end, event_id
+                     rows between 7 preceding and 1 preceding) as roll
+    from ({EVENT_GAPS_SQL})"""
 _UNSEEN = f"""with train as (select * from ({_SIDES}) where side = 'train' and o_orderpriority <> '5-LOW'),
     test as (select * from ({_SIDES}) where side = 'test')"""
 _OOF = f"""with rows as (select *, {_FOLD} as fold from ({_GAPPY_PRIORITY_SQL})),
@@ -235,7 +243,7 @@ SQL = {
     "lag_feature": f"""select event_id, user_id, case when user_id is not null then value_lag1 end as value_lag1
         from ({_PAST})""",
     "rolling_mean_past": f"""select event_id, user_id, case when user_id is not null then round(roll, 4) end as value_roll7
-        from ({_PAST})""",
+        from ({_PAST_BURST})""",
     "encode_apply": f"""with lines as ({_LINE_TEXT_SQL}), top as ({top_sql(_LINE_LONG_SQL)})
         select coalesce(f.rank, 0) as flag_id, coalesce(t.rank, 0) as date_id, count(*) as n,
                sum(l_orderkey)::bigint as keys

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill import scratch_path
 from gristmill.operators import journal as ops
 from gristmill.sources import files, sinks
-from registry.tables import ALL, table
+from registry.tables import ALL, table, union_sql
 
 
 def records(spark, d):
@@ -174,9 +177,7 @@ def task_partition(spark, d):
 
 
 def dataset_fingerprint(spark, d):
-    made = files.dataset_fingerprints(spark, d)
-    name = F.regexp_extract("path", r"([^/]+)\.parquet$", 1)
-    return made.select(name.alias("dataset"), "size", "fingerprint").where(F.col("dataset").isin(*ALL))
+    return reduce(DataFrame.unionByName, [files.dataset_fingerprint(name, table(spark, d, name)) for name in ALL])
 
 
 QUERIES = {
@@ -200,6 +201,23 @@ QUERIES = {
     "dataset_fingerprint": dataset_fingerprint,
 }
 
+# columns of the given tables: how many, and the first three
+_SHAPES = {
+    "region": (2, "r_regionkey_r_name"),
+    "nation": (3, "n_nationkey_n_name_n_regionkey"),
+    "customer": (5, "c_custkey_c_name_c_nationkey"),
+    "supplier": (4, "s_suppkey_s_name_s_nationkey"),
+    "part": (6, "p_partkey_p_name_p_brand"),
+    "orders": (6, "o_orderkey_o_custkey_o_orderstatus"),
+    "lineitem": (11, "l_orderkey_l_partkey_l_suppkey"),
+    "events": (6, "event_id_ts_user_id"),
+    "documents": (5, "doc_id_text_lang"),
+    "embeddings": (3, "vec_id_embedding_label"),
+    "pages": (3, "page_id_url_html"),
+    "benchmark": (2, "item_id_text"),
+    "labels": (3, "doc_id_quality_toxic"),
+    "conversations": (4, "conv_id_turn_role"),
+}
 _SHOWN = f"select * replace (array_to_string(tags, ',') as tags) from ({_RECORDS})"
 _REPEATED = f"""select * replace ('sub_' || (regexp_extract(submission_id, '(\\d+)$', 1)::bigint % 500) as submission_id)
     from ({_RECORDS})"""
@@ -263,4 +281,11 @@ SQL = {
         case when event_id % 3 = 0 then 'own_' || (event_id % 4) end, case when event_id % 3 = 1 then 'ambient' end,
         'task_' || case when event_id % 2 = 0 then substr(md5(event_type), 1, 12) end, 'default_task') as task_id
         from events) group by 1""",
+    "dataset_fingerprint": union_sql(
+        [
+            f"""select '{name}' as dataset, count(*) as n_rows,
+                substr(md5('{n}_{names}_' || count(*)), 1, 12) as fingerprint from {name}"""
+            for name, (n, names) in _SHAPES.items()
+        ]
+    ),
 }

@@ -25,7 +25,12 @@ def leak_target_corr(spark, d):
 
 
 def leak_id_order(spark, d):
-    return rounded(leakage.id_order(table(spark, d, "orders"), "o_orderkey", "o_totalprice"), "correlation", places=6)
+    # gaps, and ties on both sides: two orders share an id, prices are whole hundreds
+    orders = table(spark, d, "orders").select(
+        F.floor(F.col("o_orderkey") / 2).alias("o_orderkey"),
+        F.when(F.col("o_custkey") % 5 != 0, F.floor(F.col("o_totalprice") / 100) * 100).alias("o_totalprice"),
+    )
+    return rounded(leakage.id_order(orders, "o_orderkey", "o_totalprice"), "correlation", "rank_correlation", places=6)
 
 
 def leak_target_encoding(spark, d):
@@ -69,7 +74,12 @@ SQL = {
         from ({GAPS_SQL})"""
         for c in _CORR
     ),
-    "leak_id_order": "select 'o_orderkey' as id_column, round(corr(o_orderkey, o_totalprice), 6) as correlation from orders",
+    "leak_id_order": """
+        with pairs as (select floor(o_orderkey / 2) as k, floor(o_totalprice / 100) * 100 as v from orders where o_custkey % 5 <> 0),
+        ranks as (select k, v, rank() over (order by k) + (count(*) over (partition by k) - 1) / 2 as kr,
+                         rank() over (order by v) + (count(*) over (partition by v) - 1) / 2 as vr from pairs)
+        select 'o_orderkey' as id_column, round(corr(k, v), 6) as correlation, round(corr(kr, vr), 6) as rank_correlation
+        from ranks""",
     "leak_target_encoding": _OOF + f""",
         made as (select r.*, (t.s - o.s) / nullif(t.n - o.n, 0) as te from rows r
           left join cats o on o.c = r.o_orderpriority and o.fold = r.fold

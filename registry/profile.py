@@ -17,8 +17,9 @@ from registry.tables import (
 )
 
 _FLOATS = [c for c in numeric.PROFILE_COLUMNS if c not in ("feature", "nunique", "null_count", "zero_count")]
-LINE_CAT = ["l_returnflag", "l_linestatus", "l_shipdate", "l_quantity"]
-PAIRS = [["l_returnflag", "l_quantity"], ["l_linestatus", "l_shipdate"]]
+# l_partkey and l_orderkey keep thousands of values
+LINE_CAT = ["l_returnflag", "l_linestatus", "l_shipdate", "l_quantity", "l_partkey", "l_orderkey"]
+PAIRS = [["l_returnflag", "l_quantity"], ["l_linestatus", "l_shipdate"], ["l_returnflag", "l_partkey"]]
 
 
 def num_profile(spark, d):
@@ -89,7 +90,7 @@ def cat_base_stats(spark, d):
 
 def cat_topn_coverage(spark, d):
     _, top = categorical.cat_profile(_line_text(spark, d), LINE_CAT)
-    return rounded(top.withColumn("rank", F.col("rank").cast("bigint")), "ratio")
+    return rounded(top, "ratio")
 
 
 def cat_profile(spark, d):
@@ -125,7 +126,7 @@ def cross_counts(spark, d):
 
 def cross_coverage(spark, d):
     kept = cross.cross_coverage(_pair_counts(spark, d))
-    return rounded(kept.withColumn("rank", F.col("rank").cast("bigint")), "ratio")
+    return rounded(kept, "ratio")
 
 
 def summarize(spark, d):

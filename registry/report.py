@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill import scratch_path
+from gristmill.functions import scalars
 from gristmill.operators import categorical, cross, encode, numeric
 from gristmill.operators.cross import PAIR_SEPARATOR, pair_name
 from gristmill.plans import report
@@ -41,7 +42,7 @@ def flatten_cat(spark, d):
 
 
 def flatten_num(spark, d):
-    return rounded(report.flatten_num(_num(spark, d)).select("feature", "nunique", "mean", "std", "P50"), "mean", "std", "P50")
+    return rounded(report.flatten_num(_num(spark, d)), *[c for c in numeric.PROFILE_COLUMNS if c != "feature"])
 
 
 def flatten_cross(spark, d):
@@ -95,7 +96,36 @@ def pair_key_split(spark, d):
 
 
 def analyze(spark, d):
-    return rounded(report.analyze(_num(spark, d), _cat(spark, d)[0]), "null_ratio", "zero_ratio")
+    made = report.analyze(_num(spark, d), *_cat(spark, d))
+    shares = F.array_join(F.transform("top_ratios", lambda r: scalars.decimals(r, 4)), ", ")
+    return rounded(
+        made.withColumns({"top_categories": F.array_join("top_categories", ", "), "top_ratios": shares}),
+        "null_ratio", "zero_ratio", "mean", "std", "min", "max",
+    )
+
+
+def write_maps(spark, d):
+    """The four maps as written and read back, one row per entry."""
+    path = scratch_path(spark, "maps")
+    num, (cat, top) = _num(spark, d), _cat(spark, d)
+    sinks.write_maps(
+        path,
+        encoding_map=encode.encoding_map(cat, top),
+        fill_na_map=report.fillna_map(num, cat, top),
+        numerical_stats=report.std_params(num),
+        embedding_dims=report.embedding_dims(cat),
+    )
+    back = sinks.read_maps(spark, path)
+    none = F.lit(None).cast("double")
+    is_text = F.col("kind") == "text"
+    row = lambda name, key, a, b=none: back[name].select(F.lit(name).alias("map"), "feature", key.alias("key"), a.cast("double").alias("a"), b.cast("double").alias("b"))  # noqa: E731, E501
+    parts = [
+        row("encoding_map", F.col("value"), F.col("id")),
+        row("fill_na_map", F.when(is_text, F.col("fill_value")), F.when(~is_text, F.col("fill_value"))),
+        row("numerical_stats", F.lit(None).cast("string"), F.col("mean"), F.col("std")),
+        row("embedding_dims", F.lit(None).cast("string"), F.col("nunique"), F.col("embedding_dim")),
+    ]
+    return rounded(reduce(DataFrame.unionByName, parts), "a", "b")
 
 
 def report_rows(spark, d):
@@ -117,6 +147,7 @@ QUERIES = {
     "pair_key_split": pair_key_split,
     "analyze": analyze,
     "report_rows": report_rows,
+    "write_maps": write_maps,
 }
 
 _DIM = """case when nunique <= 10 then least(4, nunique) when nunique <= 50 then least(8, nunique)
@@ -157,7 +188,7 @@ SQL = {
         from ({_RATIO_BASE}) b join (
           select feature, string_agg(value || ': ' || count || ' (' || {_dec('ratio', 4)} || ')', '; ' order by rank)
                  as top10_preview from ({_TOP_SQL}) where rank <= 10 group by 1) p using (feature)""",
-    "flatten_num": f'select feature, nunique, mean, std, "P50" from ({_NUM_SQL})',
+    "flatten_num": _NUM_SQL,
     "flatten_cross": f"""
         with kept as ({cross_sql(_PAIR_ROWS).replace('round(n / tot, 4)', 'n / tot')}),
         places as (select pair, a, row_number() over (partition by pair order by max(count) desc, a) as place
@@ -186,13 +217,21 @@ SQL = {
     "pair_key_split": f"""select pair, split_part(pair, '__x__', 1) as parent, split_part(pair, '__x__', 2) as child,
         count(*) as combinations from (select distinct * from ({_PAIR_ROWS}) where a is not null and b is not null) group by pair""",
     "analyze": f"""
-        select feature, 'numeric' as kind, nunique, null_ratio, zero_ratio, {_REASON} as drop_reason,
-               null::bigint as embedding_dim, null::varchar as fill_strategy from ({_NUM_SQL})
+        select feature, 'numeric' as kind, nunique, null_ratio, zero_ratio, mean, std, min, max, {_REASON} as drop_reason,
+               null::bigint as embedding_dim, null::varchar as fill_strategy, null::varchar as top_categories,
+               null::varchar as top_ratios from ({_NUM_SQL})
         union all
-        select feature, 'categorical', nunique, round(null_ratio, 4), null, null, {_DIM},
-               case when null_count > 0 then 'mode' else 'none' end from ({_RATIO_BASE})""",
+        select feature, 'categorical', nunique, round(null_ratio, 4), null, null, null, null, null, null, {_DIM},
+               case when null_count > 0 then 'mode' else 'none' end, vals, shares
+        from ({_RATIO_BASE}) left join (
+          select feature, string_agg(value, ', ' order by rank) as vals, string_agg({_dec('ratio', 4)}, ', ' order by rank) as shares
+          from ({_TOP_SQL}) where rank <= 10 group by feature) using (feature)""",
     "report_rows": f"""
         with num as ({_NUM_SQL}), base as ({_RATIO_BASE}), top as ({_TOP_SQL})
+        select 'features' as section, 1::bigint as position, '- numeric: ' || count(*) as line from num
+        union all
+        select 'features', 2, '- categorical: ' || count(*) from base
+        union all
         select 'drop' as section, {_position(GAPS_NUM)} as position, '- **' || feature || '**: ' || reason as line
         from (select feature, {_REASON} as reason from num) where reason is not null
         union all
@@ -208,4 +247,19 @@ SQL = {
                from top where rank <= 3 group by feature) t using (feature)
         union all
         select 'embedding', {_position(LINE_CAT)}, '| ' || concat_ws(' | ', feature, nunique, {_DIM}) || ' |' from base""",
+    "write_maps": f"""
+        select 'encoding_map' as map, feature, value as key, id::double as a, null::double as b from (
+            select feature, value, rank as id from ({_TOP_SQL}) where value <> 'OTH'
+            union all select feature, 'OTH', 0 from ({_BASE_SQL}))
+        union all
+        select 'fill_na_map', feature, null, case when mean = 0 and std = 0 then 0.0::double else round(median, 4) end, null
+        from ({_NUM_SQL}) where null_count > 0
+        union all
+        select 'fill_na_map', feature, coalesce(value, 'unknown'), null, null
+        from (select feature from ({_BASE_SQL}) where null_count > 0)
+        left join (select feature, value from ({_TOP_SQL}) where rank = 1) using (feature)
+        union all
+        select 'numerical_stats', feature, null, mean, std from ({_NUM_SQL})
+        union all
+        select 'embedding_dims', feature, null, nunique::double, ({_DIM})::double from ({_BASE_SQL})""",
 }

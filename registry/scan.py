@@ -51,9 +51,14 @@ from orders
 
 
 def scan_csv(spark, d):
+    """Two header orders, quoted line breaks and blanks, and a column whose few odd values come late."""
     path = scratch_path(spark, "csv")
-    _orders_with_gaps(spark, d).na.fill("NA", ["o_orderstatus"]).write.option("header", True).csv(path)
-    return files.scan_csv(spark, path)
+    note = F.when(F.col("o_orderkey") % 7 == 0, F.lit(' two\n"lines", ')).otherwise(F.col("o_orderpriority"))
+    late = F.when(F.col("o_orderkey") % 1000 == 999, F.lit("x")).otherwise(F.col("o_orderkey").cast("string"))
+    made = _orders_with_gaps(spark, d).na.fill("NA", ["o_orderstatus"]).withColumns({"note": note, "late": late})
+    sinks.write_csv(made.where("o_orderkey % 2 = 0"), f"{path}/even")
+    sinks.write_csv(made.where("o_orderkey % 2 = 1").select(*reversed(made.columns)), f"{path}/odd")
+    return files.scan_csv(spark, path, missing=files.MISSING_WORDS)
 
 
 def scan_project(spark, d):
@@ -100,22 +105,31 @@ def _written_profile(spark, d):
 
 
 def write_profile_json(spark, d):
-    return rounded(_written_profile(spark, d)["num"], *[c for c in numeric.PROFILE_COLUMNS if c != "feature"])
+    """The written numeric part and the written summary of the categorical part."""
+    back = _written_profile(spark, d)
+    num = back["num"].select("feature", F.lit("numeric").alias("kind"), *numeric.PROFILE_COLUMNS[1:])
+    cat = back["cat"].withColumn("kind", F.lit("categorical"))
+    both = num.unionByName(cat, allowMissingColumns=True)
+    return rounded(both, *[c for c in numeric.PROFILE_COLUMNS if c != "feature"], "coverage")
 
 
 def read_profile(spark, d):
+    """Everything that grows with the data: kept values, kept pairs, medians of groups."""
     back = _written_profile(spark, d)
-    top = back["top"].select(F.lit("event_type").alias("pair"), "feature", "value", "count", "ratio")
-    crossed = back["cross"].select("pair", F.col("a").alias("feature"), F.col("b").alias("value"), "count", "ratio")
-    return rounded(top.unionByName(crossed), "ratio")
+    part = lambda name, a, b, *rest: back[name].select(F.lit(name).alias("part"), a.alias("a"), b.alias("b"), *rest)
+    top = part("top", F.col("feature"), F.col("value"), "rank", "count", "ratio")
+    crossed = part("cross", F.col("a"), F.col("b"), "rank", "count", "ratio")
+    medians = part("medians", F.col("feature"), F.col("group"), F.lit(None).cast("bigint").alias("rank"), F.lit(None).cast("bigint").alias("count"), F.col("median").alias("ratio"))
+    return rounded(top.unionByName(crossed).unionByName(medians), "ratio")
 
 
 def write_features_csv(spark, d):
     train, test = split_orders(_orders_with_gaps(spark, d))
     path = scratch_path(spark, "features")
     sinks.write_features_csv(*feature_job.impute_and_row_mean(train, test, "o_totalprice"), path)
-    back = files.scan_csv(spark, f"{path}/test_engineered")
-    return rounded(back.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "row_mean"), "row_mean")
+    train = files.scan_csv(spark, f"{path}/train_engineered").withColumn("side", F.lit("train"))
+    test = files.scan_csv(spark, f"{path}/test_engineered").withColumn("side", F.lit("test"))
+    return rounded(train.unionByName(test, allowMissingColumns=True), "row_mean")
 
 
 def split_orders(orders):
@@ -234,22 +248,20 @@ where cum - n < 0.95 * tot
 """
 
 
-def top_sql(long_source: str, limit: int = 5_000_000) -> str:
+def top_sql(long_source: str) -> str:
     """Kept top values from a relation ``(feature, value)`` of strings."""
     return f"""
 select feature, value, rk as rank, n as count, n / total as ratio from (
-  select feature, value, n, rk, total,
-         sum(n) over (partition by feature order by n desc, value rows unbounded preceding) as cum
-  from (select feature, value, n, total, nunique,
-               row_number() over (partition by feature order by value is null, n desc, value) as rk
-        from (select feature, value, n, sum(n) over (partition by feature) as total,
-                     count(*) over (partition by feature) as nunique
-              from (select feature, value, count(*) as n from ({long_source}) group by all)))
-  where rk <= 1000 and value is not null and nunique <= {limit})
-where rk <= 30 or cum - n < 0.95 * total
+  select feature, value, n, total,
+         row_number() over (partition by feature order by value is null, n desc, value) as rk,
+         sum(n) over (partition by feature order by value is null, n desc, value rows unbounded preceding) as cum
+  from (select feature, value, n, sum(n) over (partition by feature) as total
+        from (select feature, value, count(*) as n from ({long_source}) group by all)))
+where value is not null and (rk <= 30 or cum - n < 0.95 * total)
 """
 
 
+_EVENT_TYPES = f"select 'event_type' as feature, event_type as value from ({EVENT_GAPS_SQL})"
 _IMPUTED_TEST = f"""
 with src as (select *, {_SPLIT} as side from ({_ORDERS_WITH_GAPS_SQL})),
 fit as (select quantile_cont(o_orderkey::double, 0.5) as k, quantile_cont(o_custkey::double, 0.5) as c,
@@ -259,24 +271,44 @@ fit as (select quantile_cont(o_orderkey::double, 0.5) as k, quantile_cont(o_cust
 
 SQL = {
     "scan_parquet": union_sql([f"select '{t}' as table_name, count(*) as n_rows from {t}" for t in ALL]),
-    "scan_csv": _ORDERS_WITH_GAPS_SQL,
+    "scan_csv": f"""select *, case when o_orderkey % 7 = 0 then ' two' || chr(10) || '"lines", ' else o_orderpriority end as note,
+        case when o_orderkey % 1000 = 999 then 'x' else o_orderkey::varchar end as late from ({_ORDERS_WITH_GAPS_SQL})""",
     "scan_project": "select l_returnflag, sum(l_quantity) as quantity from lineitem group by 1",
     "sample_files": f"""select event_id, event_type, value from events
         where {bucket_sql('event_id', FILES)} in ({', '.join(map(str, _CHOSEN))})""",
     "sample_rows": f"select o_orderkey, o_totalprice from orders where {bucket_sql('o_orderkey', 10000)} < 3000",
     "multi_file_union": "select event_type, count(*) as n, round(sum(value), 2) as total from events group by 1",
-    "write_profile_json": num_profile_sql(EVENT_GAPS_SQL, ["event_id", "user_id", "value"]),
+    "write_profile_json": f"""
+        with top as ({top_sql(_EVENT_TYPES)})
+        select feature, 'numeric' as kind, nunique, null_count, null_ratio, zero_count, zero_ratio, mean, median, std, min, max,
+               {', '.join(f'"{q}"' for q in numeric.QUANTILE_NAMES)},
+               null::boolean as skipped, null::double as coverage, null::bigint as items_kept
+        from ({num_profile_sql(EVENT_GAPS_SQL, ["event_id", "user_id", "value"])})
+        union all
+        select 'event_type', 'categorical', count(distinct event_type) + max((event_type is null)::int),
+               count(*) - count(event_type), round((count(*) - count(event_type)) / count(*), 4), null, null, null, null, null, null, null,
+               {', '.join('null' for _ in numeric.QUANTILE_NAMES)}, false,
+               round((select sum(count) from top) / count(*), 4), (select count(*) from top)
+        from ({EVENT_GAPS_SQL})""",
     "read_profile": f"""
-        select 'event_type' as pair, feature, value, count, round(ratio, 4) as ratio
-        from ({top_sql(f"select 'event_type' as feature, event_type as value from ({EVENT_GAPS_SQL})")})
+        select 'top' as part, feature as a, value as b, rank, count, round(ratio, 4) as ratio from ({top_sql(_EVENT_TYPES)})
         union all
-        select pair, a as feature, b as value, count, ratio from ({cross_sql(
-            f"select 'event_type__x__user_id' as pair, event_type as a, user_id::varchar as b from ({EVENT_GAPS_SQL})")})""",
+        select 'cross', a, b, rank, count, ratio from ({cross_sql(
+            f"select 'event_type__x__user_id' as pair, event_type as a, user_id::varchar as b from ({EVENT_GAPS_SQL})")})
+        union all
+        """ + union_sql(
+        [
+            f"""select 'medians', '{c}', event_type, null, null, round(quantile_cont({c}::double, 0.5), 4)
+            from ({EVENT_GAPS_SQL}) where event_type is not null group by event_type"""
+            for c in ("event_id", "user_id", "value")
+        ]
+    ),
     "write_features_csv": _IMPUTED_TEST + """
         select o_orderkey::double as o_orderkey, coalesce(o_custkey::double, c) as o_custkey,
                coalesce(o_orderstatus, s) as o_orderstatus, o_orderpriority,
-               round((o_orderkey + coalesce(o_custkey::double, c)) / 2, 4) as row_mean
-        from src, fit where side = 'test'""",
+               round((o_orderkey + coalesce(o_custkey::double, c)) / 2, 4) as row_mean,
+               case when side = 'train' then o_totalprice end as o_totalprice, side
+        from src, fit""",
     "select_features": """select o_orderpriority, count(o_orderkey) as n, round(sum(o_totalprice), 2) as total
         from orders group by 1""",
     "align_train_test": f"""

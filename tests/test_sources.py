@@ -5,7 +5,7 @@ from pyspark.sql import types as T
 
 from conftest import SF
 from gristmill import scratch_path
-from gristmill.operators import checks
+from gristmill.operators import checks, encode
 from gristmill.plans import profile
 from gristmill.sources import files, sinks
 
@@ -27,7 +27,7 @@ def test_missing_files_are_an_error(spark, tmp_path):
 def test_csv_types_and_missing_words(spark, tmp_path):
     _write(tmp_path / "a" / "one.csv", 'i,x,s,b,gone\n1,1.5,"say ""hi"", you",true,NA\nNULL,nan,N/A,False,\n3,2,z,,null\n')
     _write(tmp_path / "b" / "two.csv", "i,x,s,b,gone\n4,,w,true,\n")
-    got = files.scan_csv(spark, str(tmp_path))
+    got = files.scan_csv(spark, str(tmp_path), missing=files.MISSING_WORDS)
     assert [f.dataType for f in got.schema] == [T.LongType(), T.DoubleType(), T.StringType(), T.BooleanType(), T.StringType()]
     rows = {r.i: r for r in got.collect()}
     assert len(rows) == 4 and rows[1].s == 'say "hi", you' and rows[None].s is None and rows[3].gone is None
@@ -61,6 +61,51 @@ def test_profile_survives_writing_and_may_lack_parts(spark):
     back = sinks.read_profile(spark, path)
     assert back["num"].first().P50 == 2.0 and back["cross"].count() == 0 and back["medians"].count() == 0
     assert sorted((r.value, r["rank"]) for r in back["top"].collect()) == [("a", 1), ("b", 2)]
+    sinks.write_maps(path, encoding_map=encode.encoding_map(done.cat, done.top))
+    maps = sinks.read_maps(spark, path)
+    assert {(r.value, r.id) for r in maps["encoding_map"].collect()} == {("a", 1), ("b", 2), ("OTH", 0)}
+    assert maps["fill_na_map"].count() == 0
+
+
+def test_csv_types_hold_for_all_rows_and_files(spark, tmp_path):
+    _write(tmp_path / "a.csv", "k,late,n\n" + "".join(f"{i},{i},{i}\n" for i in range(150_000)) + "150000,odd,\n")
+    _write(tmp_path / "b.csv", 'n,k,late\n0.5,1,"two\nlines"\n,2,""\n')
+    got = files.scan_csv(spark, str(tmp_path))
+    assert [(f.name, f.dataType) for f in got.schema] == [("k", T.LongType()), ("late", T.StringType()), ("n", T.DoubleType())]
+    assert got.count() == 150_003 and got.where("late = 'odd'").count() == 1
+    assert {(r.k, r.late, r.n) for r in got.where("late = 'two\nlines' or n = 0.5").collect()} == {(1, "two\nlines", 0.5)}
+
+
+def test_csv_misfits_are_listed(spark, tmp_path):
+    _write(tmp_path / "a.csv", "i,x\n1,2.5\nseven,NA\n,3\n")
+    schema = T.StructType([T.StructField("i", T.LongType()), T.StructField("x", T.DoubleType())])
+    bad = files.csv_misfits(spark, str(tmp_path), schema, missing=files.MISSING_WORDS).collect()
+    assert [(r.file.rsplit("/", 1)[1], r.column, r.value) for r in bad] == [("a.csv", "i", "seven")]
+    plain = files.csv_misfits(spark, str(tmp_path), schema).collect()
+    assert {(r.column, r.value) for r in plain} == {("i", "seven"), ("x", "NA")}
+
+
+def test_scan_reads_only_empty_fields_as_missing(spark, tmp_path):
+    _write(tmp_path / "a.csv", "s\nNA\nNone\n\"\"\nx\n")
+    assert sorted(r.s or "" for r in files.scan_csv(spark, str(tmp_path)).collect()) == ["", "NA", "None", "x"]
+
+
+def test_csv_files_of_other_columns_are_refused(spark, tmp_path):
+    _write(tmp_path / "a.csv", "x,y\n1,2\n")
+    _write(tmp_path / "b.csv", "x,z\n1,2\n")
+    with pytest.raises(ValueError, match="b.csv"):
+        files.scan_csv(spark, str(tmp_path))
+    _write(tmp_path / "b.csv", "x,x\n1,2\n")
+    with pytest.raises(ValueError):
+        files.scan_csv(spark, str(tmp_path / "b.csv"))
+
+
+def test_csv_keeps_blanks_and_line_breaks(spark, tmp_path):
+    rows = [(1, " a ", "x\ny"), (2, "", 'say "hi", \r\n'), (3, None, "\ttab")]
+    frame = spark.createDataFrame(rows, "i long, s string, t string")
+    sinks.write_csv(frame, str(tmp_path / "out"))
+    back = files.scan_csv(spark, str(tmp_path / "out"), missing=[]).orderBy("i").collect()
+    assert [(r.i, r.s, r.t.replace("\r\n", "\n")) for r in back] == [(i, s, t.replace("\r\n", "\n")) for i, s, t in rows]
 
 
 def test_summarize_files_from_csv(spark, tmp_path):
@@ -71,12 +116,10 @@ def test_summarize_files_from_csv(spark, tmp_path):
     assert done.top.first()["count"] == 2
 
 
-def test_fingerprints_depend_on_size_and_names(spark, tmp_path):
-    _write(tmp_path / "a.csv", "x,y\n1,2\n")
-    _write(tmp_path / "b.csv", "x,y\n1,2\n")
-    _write(tmp_path / "c.csv", "x,z\n1,2\n")
-    got = {r.path.rsplit("/", 1)[1]: r.fingerprint for r in files.dataset_fingerprints(spark, str(tmp_path), "csv").collect()}
-    assert got["a.csv"] == got["b.csv"] != got["c.csv"] and len(got["a.csv"]) == 12
+def test_fingerprint_depends_on_rows_and_names(spark):
+    one, two = spark.range(5).selectExpr("id as x", "id as y"), spark.range(6).selectExpr("id as x", "id as y")
+    ids = [files.dataset_fingerprint("t", t).first().fingerprint for t in (one, one, two, one.selectExpr("x", "y as z"))]
+    assert ids[0] == ids[1] and len(set(ids)) == 3 and all(len(i) == 12 for i in ids)
 
 
 def test_links(spark):

@@ -90,7 +90,7 @@ def cat_base_stats(spark, d):
 
 def cat_topn_coverage(spark, d):
     _, top = categorical.cat_profile(_line_text(spark, d), LINE_CAT)
-    return rounded(top, "ratio")
+    return rounded(top, "ratio", places=8)
 
 
 def cat_profile(spark, d):
@@ -181,7 +181,7 @@ SQL = {
     ),
     "value_counts": f"select feature, value, count(*) as n_rows from ({_LINE_LONG_SQL}) group by all",
     "cat_base_stats": _BASE_SQL,
-    "cat_topn_coverage": f"select feature, value, rank, count, round(ratio, 4) as ratio from ({top_sql(_LINE_LONG_SQL)})",
+    "cat_topn_coverage": f"select feature, value, rank, count, round(ratio, 8) as ratio from ({top_sql(_LINE_LONG_SQL)})",
     "cat_profile": f"""select b.feature, b.nunique, b.null_count, round(b.null_count / b.total_rows, 4) as null_ratio,
         false as skipped, round(t.covered / b.total_rows, 4) as coverage, t.items_kept
         from ({_BASE_SQL}) b join (select feature, sum(count) as covered, count(*) as items_kept

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions.roles import quoted
+from gristmill.operators import narrowing
 from gristmill.operators.counts import name_of, number_counts
 from gristmill.operators.quantiles import Located, locate
 
@@ -81,18 +83,41 @@ def quantiles(
     names: Sequence[str] = tuple(QUANTILE_NAMES),
     columns_per_scan: int | None = None,
 ) -> DataFrame:
-    """Exact quantiles per column."""
-    found = _locate(df, columns, probabilities, columns_per_scan)
-    stats = found.with_summary(found.quantiles(probabilities, names))
-    return _named(stats, columns).select("feature", *names)
+    """Exact quantiles per column, a null for a column without values. No value is
+    shuffled to be counted (``narrowing``)."""
+    columns = list(columns)
+    size = columns_per_scan or len(columns)
+    parts = [
+        _every(narrowing.quantiles(df, columns[k : k + size], probabilities, names), columns[k : k + size])
+        for k in range(0, len(columns), size)
+    ]
+    return reduce(DataFrame.unionByName, parts).select("feature", *names)
+
+
+def _every(found: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """All ``columns`` by name, with their row of ``found`` (by number) or nulls."""
+    numbered = found.sparkSession.range(len(columns)).select(F.col("id").cast("int").alias("fid"))
+    return _named(numbered.join(F.broadcast(found), "fid", "left"), columns)
 
 
 def moments(df: DataFrame, columns: Sequence[str], columns_per_scan: int | None = None) -> DataFrame:
-    """Outlier-clipped mean and deviation per column."""
-    found = _locate(df, columns, [0.01, 0.5, 0.99], columns_per_scan, moments=True)
-    marks = found.quantiles([0.01, 0.5, 0.99], ["P1", "P50", "P99"])
-    stats = found.with_summary(_clipped(found, marks))
-    return _named(stats, columns).select("feature", "mean", "std")
+    """Outlier-clipped mean and deviation per column: over the values inside the exact
+    ``[P1, P99]``, both ends included. One more pass after the quantiles, a row per
+    column and task."""
+    columns = list(columns)
+    size = columns_per_scan or len(columns)
+    parts = []
+    for k in range(0, len(columns), size):
+        part = columns[k : k + size]
+        marks = narrowing.quantiles(df, part, [0.01, 0.5, 0.99], ["P1", "P50", "P99"])
+        inside = narrowing.tall(df, part).join(F.broadcast(marks), "fid").where(F.col("x").between(F.col("P1"), F.col("P99")))
+        # moved to the middle, so that large values do not swallow small differences
+        moved = F.col("x") - F.col("P50")
+        kept = inside.groupBy("fid").agg(
+            (F.first("P50") + F.avg(moved)).alias("mean"), F.stddev_samp(moved).alias("std")
+        )
+        parts.append(_every(kept, part))
+    return reduce(DataFrame.unionByName, parts).select("feature", "mean", "std")
 
 
 def ratios(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -40,7 +40,7 @@ _TOP = _LOG_CEILING * STEPS_PER_OCTAVE + _SHIFT
 _MISSING = -(2**40)
 
 
-def _bucket_of(x: str) -> str:
+def bucket_of(x: str) -> str:
     """Whole number that never decreases as ``x`` grows."""
     size = f"floor(least(log2(abs({x})), {_LOG_CEILING}D) * {STEPS_PER_OCTAVE}) + {_SHIFT}"
     return f"case when {x} = 0 then 0 when {x} > 0 then {size} else -({size}) end"
@@ -54,11 +54,13 @@ _STEP = f"""coalesce(case when abs(bucket) <> {_TOP} and high > low
     then floor((x - low) / (high - low) * {FINE_STEPS}) end, 0L)"""
 
 
-def _inside(ranks: str, end: str, rows: str) -> str:
+def inside(ranks: str, end: str, rows: str) -> str:
+    """Those of ``ranks`` that lie in the ``rows`` places before ``end``."""
     return f"filter({ranks}, r -> r >= {end} - {rows} and r < {end})"
 
 
-def _wanted(probabilities: Sequence[float]) -> str:
+def wanted_ranks(probabilities: Sequence[float]) -> str:
+    """The places (from 0) that quantiles of ``valid`` values lie at or between."""
     ranks = [f"cast({side}({float(p)!r}D * (valid - 1)) as bigint)" for p in probabilities for side in ("floor", "ceil")]
     return f"array_distinct(array({', '.join(ranks)}))"
 
@@ -106,7 +108,7 @@ class Located:
         bounded = bounds is not None
         whole = f"bucket <> {_MISSING}"
         if bounded:
-            whole += f" and bucket > {_bucket_of('first')} and bucket < {_bucket_of('last')}"
+            whole += f" and bucket > {bucket_of('first')} and bucket < {bucket_of('last')}"
         else:
             bounds = self.picked.selectExpr(*self.keys, "element_at(map_values(at), 1) as centre")
         shift = f"({_CENTRE} - centre)"
@@ -121,7 +123,7 @@ class Located:
         )
         parts = [full]
         if bounded:
-            at_edge = f"""bucket in ({_bucket_of('first')}, {_bucket_of('last')}) and x between first and last
+            at_edge = f"""bucket in ({bucket_of('first')}, {bucket_of('last')}) and x between first and last
                 and step >= 0 and before >= 0 and valid > 0 and size(ranks) > 0"""
             terms = {"k": "n", "s1": "n * (x - centre)", "s2": "n * (x - centre) * (x - centre)"}
             ends = self.near.join(F.broadcast(bounds), self.keys).groupBy(*self.keys)
@@ -153,7 +155,7 @@ def locate(
     names = ", ".join(keys)
     small = F.broadcast if few_keys else (lambda d: d)
     bucketed = counts.selectExpr(
-        *keys, "missing", "x", "n", f"coalesce(case when missing then {_MISSING}L else {_bucket_of('x')} end, {_MISSING}L) as bucket"
+        *keys, "missing", "x", "n", f"coalesce(case when missing then {_MISSING}L else {bucket_of('x')} end, {_MISSING}L) as bucket"
     )
     real = "case when not missing and not isnan(x) then x end"
     sums = [f"sum(n * (x - {_CENTRE})) as s1", f"sum(n * (x - {_CENTRE}) * (x - {_CENTRE})) as s2"] if moments else []
@@ -169,7 +171,7 @@ def locate(
             f"sum({weight}) over (partition by {names} order by bucket rows unbounded preceding) as end",
             f"sum({weight}) over (partition by {names}) as valid",
         )
-        .selectExpr("*", f"{_inside(_wanted(probabilities), 'end', 'weight')} as ranks")
+        .selectExpr("*", f"{inside(wanted_ranks(probabilities), 'end', 'weight')} as ranks")
         .where(f"size(ranks) > 0 and {used}")
         .selectExpr(*keys, "bucket", "end - weight as before", "valid", "ranks", "low", "high")
     )
@@ -190,7 +192,7 @@ def locate(
             "*",
             f"sum(weight) over (partition by {names}, bucket order by step rows unbounded preceding) - weight as offset",
         )
-        .where(f"low <= high and valid > 0 and size({_inside('ranks', '(before + offset + weight)', 'weight')}) > 0")
+        .where(f"low <= high and valid > 0 and size({inside('ranks', '(before + offset + weight)', 'weight')}) > 0")
         .select(*keys, "bucket", "step", "offset")
     )
     picked = (
@@ -199,7 +201,7 @@ def locate(
             *keys, "valid", "x", "n", "ranks",
             f"before + offset + sum(n) over (partition by {names}, bucket, step order by x rows unbounded preceding) as end",
         )
-        .selectExpr(*keys, "valid", "x", f"explode({_inside('ranks', 'end', 'n')}) as rank")
+        .selectExpr(*keys, "valid", "x", f"explode({inside('ranks', 'end', 'n')}) as rank")
         .groupBy(*keys)
         .agg(F.first("valid").alias("valid"), F.expr("map_from_entries(collect_list(struct(rank, x)))").alias("at"))
     )

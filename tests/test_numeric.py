@@ -5,7 +5,7 @@ from decimal import Decimal
 import numpy as np
 import pytest
 
-from gristmill.operators import groups, numeric
+from gristmill.operators import groups, narrowing, numeric
 from gristmill.operators.counts import number_counts
 from gristmill.operators.quantiles import locate
 
@@ -84,6 +84,32 @@ def test_quantiles_and_moments_match_numpy(spark, name):
             assert got["std"] == pytest.approx(centred.std(ddof=1), rel=1e-6, abs=1e-300)
 
 
+@pytest.mark.parametrize("few_rows", [0, 50, 10**6])
+@pytest.mark.parametrize("name", sorted(_shapes()))
+def test_narrowing_matches_numpy_however_far_it_goes(spark, name, few_rows):
+    values = _shapes()[name]
+    df = spark.createDataFrame([(v, 7) for v in values], "x double, y int").repartition(7)
+    got = {r.fid: r for r in narrowing.quantiles(df, ["x", "y"], numeric.QUANTILES, numeric.QUANTILE_NAMES, few_rows).collect()}
+    for wanted, column in zip(np.quantile(values, numeric.QUANTILES), numeric.QUANTILE_NAMES, strict=True):
+        assert got[0][column] == pytest.approx(wanted, rel=1e-12, abs=1e-323)
+    assert set(got[1][1:]) == {7.0}
+
+
+@pytest.mark.parametrize("few_rows", [0, 10**6])
+def test_narrowing_of_infinities_and_nothing(spark, few_rows):
+    inf, nan = float("inf"), float("nan")
+    values = [-inf, -inf, -1.0, 0.0, 2.0, inf, inf, nan, nan, nan]
+    df = spark.createDataFrame([(v, None) for v in values], "x double, y double")
+    shares = [k / 9 for k in range(10)]
+    names = [f"q{k}" for k in range(10)]
+    got = narrowing.quantiles(df, ["x", "y"], shares, names, few_rows).collect()
+    assert len(got) == 1
+    for mine, wanted in zip(got[0][1:], values, strict=True):
+        assert mine == wanted or (math.isnan(mine) and math.isnan(wanted))
+    assert numeric.quantiles(df, ["y"], [0.5], ["m"]).collect()[0].m is None
+    assert numeric.moments(df.where("false"), ["x"]).collect()[0]["mean"] is None
+
+
 def test_result_does_not_depend_on_partitioning(spark):
     df = spark.range(2000).selectExpr("id % 613 * 1.5 as x", "id as y")
     first = sorted(map(tuple, numeric.num_profile(df.repartition(1), ["x", "y"]).collect()))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions.roles import quoted
-from gristmill.operators.cross import PAIR_SEPARATOR
+from gristmill.operators.cross import pair_name
 from gristmill.operators.impute import one_row
 from gristmill.operators.lookup import settled
 
@@ -26,7 +26,7 @@ def encoding_map(summary: DataFrame, top: DataFrame) -> DataFrame:
     return own.unionByName(other)
 
 
-def child_map(parent: DataFrame, cross: DataFrame, pair: str) -> DataFrame:
+def child_map(parent: DataFrame, cross: DataFrame, pair: Sequence[str]) -> DataFrame:
     """Encoding of the second column of ``pair`` within the first.
 
     Distinct b-values are numbered from 0 as first seen (a-values by their
@@ -35,8 +35,8 @@ def child_map(parent: DataFrame, cross: DataFrame, pair: str) -> DataFrame:
     skipped. Numbers are given per a-value and shifted by the totals of the
     earlier ones, so the numbering does not gather all b-values in one task.
     """
-    child = pair.split(PAIR_SEPARATOR)[1]
-    known = cross.where(F.col("pair") == pair).join(parent.select(F.col("value").alias("a")), "a", "left_semi")
+    child = pair[1]
+    known = cross.where(F.col("pair") == pair_name(*pair)).join(parent.select(F.col("value").alias("a")), "a", "left_semi")
     lead = Window.partitionBy("pair").orderBy(F.desc("top"), "a")
     order = (
         known.groupBy("pair", "a")
@@ -73,15 +73,15 @@ def child_map(parent: DataFrame, cross: DataFrame, pair: str) -> DataFrame:
 
 
 def encoding_maps(
-    summary: DataFrame, top: DataFrame, features: Sequence[str], cross: DataFrame | None, pairs: Sequence[str]
+    summary: DataFrame, top: DataFrame, features: Sequence[str], cross: DataFrame | None, pairs: Sequence[Sequence[str]]
 ) -> dict[str, DataFrame]:
     """Map per feature; each pair, in order, replaces its second column's map."""
     plain = encoding_map(summary, top)
     maps = {f: plain.where(F.col("feature") == f) for f in features}
     for pair in pairs:
-        parent, child = pair.split(PAIR_SEPARATOR)[:2]
+        parent, child = pair
         if parent not in maps:
-            raise ValueError(f"{pair}: {parent} has no categorical profile")
+            raise ValueError(f"{pair_name(parent, child)}: {parent} has no categorical profile")
         maps[child] = child_map(maps[parent], cross, pair)
     return maps
 

@@ -44,7 +44,7 @@ def group_table(df: DataFrame, key: str, value: str, prefix: str) -> DataFrame:
     v = F.col(quoted(value))
     return (
         df.where(F.col(quoted(key)).isNotNull())
-        .groupBy(key)
+        .groupBy(F.col(quoted(key)).alias(key))
         .agg(
             F.avg(v).alias(f"{prefix}_mean"),
             F.stddev_samp(v).alias(f"{prefix}_std"),
@@ -59,7 +59,8 @@ def group_aggregates(train: DataFrame, target: DataFrame, key: str, value: str)
 
 
 def group_size(df: DataFrame, key: str) -> DataFrame:
-    return df.where(F.col(quoted(key)).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("group_size"))
+    named = df.where(F.col(quoted(key)).isNotNull())
+    return named.groupBy(F.col(quoted(key)).alias(key)).agg(F.count(F.lit(1)).alias("group_size"))
 
 
 def group_nunique(df: DataFrame, key: str, member: str) -> DataFrame:
@@ -69,11 +70,11 @@ def group_nunique(df: DataFrame, key: str, member: str) -> DataFrame:
     spread by member and repeats collapse before the shuffle.
     """
     pairs = df.where(F.col(quoted(key)).isNotNull()).select(quoted(key), quoted(member)).distinct()
-    return pairs.groupBy(key).agg(F.count(member).alias("group_nunique"))
+    return pairs.groupBy(F.col(quoted(key)).alias(key)).agg(F.count(F.col(quoted(member))).alias("group_nunique"))
 
 
 def ratio_to_group_mean(train: DataFrame, target: DataFrame, key: str, value: str, output: str) -> DataFrame:
     """Row value over its group's train mean; null for unknown groups and zero means."""
-    means = group_table(train, key, value, "_g").select(key, "_g_mean")
+    means = group_table(train, key, value, "_g").select(quoted(key), "_g_mean")
     joined = left_lookup(target, means, [key])
     return joined.withColumn(output, F.try_divide(F.col(quoted(value)).cast("double"), "_g_mean")).drop("_g_mean")

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gristmill.session import ensure_checkpoint_dir
+from gristmill.operators.lookup import settled
 
 # The record's fields, accepted words for booleans, the task id
 # pattern and the fallback task.
@@ -27,7 +28,7 @@ RECORD = T.StructType(
 )
 TRUE_WORDS = ["true", "1", "yes"]
 FALSE_WORDS = ["false", "0", "no"]
-TASK_ID_PATTERN = "^[A-Za-z0-9_-]+$"
+TASK_ID_PATTERN = r"^[A-Za-z0-9_-]+\z"
 DEFAULT_TASK = "default_task"
 STATUSES = ("all", "success", "buggy")
 
@@ -133,11 +134,11 @@ def latest_per_task(journal: DataFrame, limit: int = 20) -> DataFrame:
     return journal.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= limit)
 
 
-def to_json_array(history: DataFrame) -> DataFrame:
-    """One compact JSON array of a bounded history (see :func:`latest`)."""
-    keyed = F.struct(F.coalesce("timestamp", F.lit("")).alias("t"), F.struct(*history.columns).alias("r"))
-    newest = F.reverse(F.array_sort(F.array_agg(keyed)))
-    return history.agg(F.to_json(F.transform(newest, lambda e: e["r"])).alias("history"))
+def to_json_array(history: DataFrame, limit: int = 20) -> DataFrame:
+    """One compact JSON array of the newest ``limit`` records, newest first."""
+    placed = latest(history, limit).withColumn("_place", F.row_number().over(Window.orderBy(*_newest_first())))
+    ordered = F.array_sort(F.array_agg(F.struct("_place", F.struct(*history.columns).alias("record"))))
+    return placed.agg(F.to_json(F.transform(ordered, lambda e: e["record"])).alias("history"))
 
 
 def duplicates(journal: DataFrame) -> DataFrame:
@@ -214,46 +215,40 @@ def tree(journal: DataFrame) -> DataFrame:
 
     Each round lets every unfinished id jump to its pointer's pointer, so a
     chain of a million ids takes twenty rounds instead of a million. A round is
-    one join on ``(task_id, id)`` and is written to the checkpoint folder, which
-    keeps the plan short and survives lost executors. Finished ids leave the
-    loop, so the roots do not turn into hot keys. An id whose parent is not
+    one join on ``(task_id, id)`` whose result, the open and the newly finished ids
+    alone, is written to the shared folder, which keeps the plan short and survives
+    lost executors. Finished ids leave the loop and are not written again, so the
+    roots do not turn into hot keys. An id whose parent is not
     stored is a root; ids on or below a cycle get null root and depth.
     """
-    ensure_checkpoint_dir(journal.sparkSession)
     nodes = _last_record(journal).select("task_id", F.col("submission_id").alias("id"), F.col("last.parent_id").alias("up"))
+    nodes = settled(nodes)
     present = nodes.select("task_id", F.col("id").alias("up"), F.lit(True).alias("_known"))
     linked = nodes.where(F.col("up").isNotNull()).join(present, ["task_id", "up"], "left")
-    start = linked.select("task_id", "id", F.when(F.col("_known"), F.col("up")).alias("up")).unionByName(
-        nodes.where(F.col("up").isNull())
-    )
-    # state: `up` is an ancestor `steps` above; null once `root` is known
-    state = start.select(
-        "task_id",
-        "id",
-        "up",
-        F.when(F.col("up").isNull(), F.col("id")).alias("root"),
-        F.when(F.col("up").isNull(), F.lit(0)).otherwise(F.lit(1)).cast("bigint").alias("steps"),
-    ).checkpoint()
-    longest = state.count()
-    reach = 1
-    open_ids = longest
-    while open_ids and reach <= 2 * longest:
-        ahead = state.select(
-            "task_id", F.col("id").alias("up"), F.col("up").alias("_up"), F.col("root").alias("_root"),
-            F.col("steps").alias("_steps"),
+    top = nodes.where(F.col("up").isNull()).select("task_id", "id", F.col("id").alias("root"), F.lit(0).cast("bigint").alias("steps"))
+    # of an open id, `up` is an ancestor `steps` above
+    start = settled(linked.select("task_id", "id", "up", "_known", F.lit(1).cast("bigint").alias("steps")))
+    finished = [top, start.where(F.col("_known").isNull()).select("task_id", "id", F.col("id").alias("root"), F.lit(0).cast("bigint").alias("steps"))]
+    going = start.where(F.col("_known")).select("task_id", "id", "up", "steps")
+    longest, reach = nodes.count(), 1
+    while not going.isEmpty() and reach <= 2 * longest:
+        ends = reduce(DataFrame.unionByName, finished).select(
+            "task_id", F.col("id").alias("up"), F.lit(None).cast("string").alias("_up"), F.col("root").alias("_root"), F.col("steps").alias("_steps")
         )
-        moved = state.where(F.col("root").isNull()).join(ahead, ["task_id", "up"]).select(
-            "task_id",
-            "id",
-            F.when(F.col("_root").isNull(), F.col("_up")).alias("up"),
-            F.col("_root").alias("root"),
-            (F.col("steps") + F.col("_steps")).alias("steps"),
+        ways = going.select(
+            "task_id", F.col("id").alias("up"), F.col("up").alias("_up"), F.lit(None).cast("string").alias("_root"), F.col("steps").alias("_steps")
+        )
+        moved = settled(
+            going.join(ends.unionByName(ways), ["task_id", "up"]).select(
+                "task_id", "id", F.col("_up").alias("up"), F.col("_root").alias("root"), (F.col("steps") + F.col("_steps")).alias("steps")
+            )
         )
-        state = state.where(F.col("root").isNotNull()).unionByName(moved).checkpoint()
-        open_ids = state.where(F.col("root").isNull()).count()
+        finished.append(moved.where(F.col("root").isNotNull()).select("task_id", "id", "root", "steps"))
+        going = moved.where(F.col("root").isNull()).select("task_id", "id", "up", "steps")
         reach *= 2
-    depth = F.when(F.col("root").isNotNull(), F.col("steps")).alias("depth")
-    return state.select("task_id", F.col("id").alias("submission_id"), "root", depth)
+    lost = going.select("task_id", "id", F.lit(None).cast("string").alias("root"), F.lit(None).cast("bigint").alias("steps"))
+    done = reduce(DataFrame.unionByName, [*finished, lost])
+    return done.select("task_id", F.col("id").alias("submission_id"), "root", F.col("steps").alias("depth"))
 
 
 def markdown(journal: DataFrame) -> DataFrame:

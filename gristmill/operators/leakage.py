@@ -15,16 +15,23 @@ from gristmill.operators.spread import running_sums
 def shared_rows(train: DataFrame, test: DataFrame) -> DataFrame:
     """Distinct rows found on both sides (null equals null).
 
-    One grouped aggregation over both: copies collapse on the map side, so a
-    row repeated across a third of the data costs no more than any other.
+    First 256-bit digests and their sides alone are shuffled: copies collapse on the map
+    side, so a row repeated across a third of the data costs no more than any other.
+    Rows whose digest is on both sides are then compared as they are.
     """
-    both = train.select(*[quoted(c) for c in train.columns], F.lit(1).alias("_side")).unionByName(
-        test.select(*[quoted(c) for c in train.columns], F.lit(2).alias("_side"))
-    )
-    sides = both.groupBy(*[quoted(c) for c in train.columns]).agg(
-        F.min("_side").alias("_low"), F.max("_side").alias("_high")
-    )
-    return sides.where(F.col("_low") < F.col("_high")).drop("_low", "_high")
+    columns = [quoted(c) for c in train.columns]
+    sides = [train.select(*columns, F.lit(1).alias("_side")), test.select(*columns, F.lit(2).alias("_side"))]
+    row = F.struct(*columns)
+    both = sides[0].unionByName(sides[1]).select(F.sha2(F.to_json(row, {"ignoreNullFields": "false"}), 256).alias("_digest"), "_side", row.alias("_row"))
+    ends = lambda *keys: (F.min("_side").alias("_low"), F.max("_side").alias("_high"), *keys)
+    candidates = settled(both.groupBy("_digest").agg(*ends()).where("_low < _high").select("_digest"))
+    met = both.join(candidates, "_digest", "left_semi")
+    seen = met.groupBy("_digest").agg(*ends(F.min("_row").alias("_a"), F.max("_row").alias("_b")))
+    alike = seen.where(F.col("_a").eqNullSafe(F.col("_b"))).select("_a.*")
+    # different rows of one digest: told apart row by row
+    clashing = seen.where(~F.col("_a").eqNullSafe(F.col("_b"))).select("_digest")
+    apart = met.join(clashing, "_digest", "left_semi").groupBy("_row").agg(*ends()).where("_low < _high").select("_row.*")
+    return alike.unionByName(apart)
 
 
 def target_correlation(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:

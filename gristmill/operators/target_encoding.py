@@ -46,7 +46,7 @@ def out_of_fold(
     marked = train.withColumn("_fold", bucket_of(F.col(quoted(row_key)), folds))
     per_category = Window.partitionBy(quoted(category))
     others = _fold_sums(marked, category, target).select(
-        category,
+        quoted(category),
         "_fold",
         (F.sum("_s").over(per_category) - F.coalesce("_s", F.lit(0.0))).alias("_os"),
         (F.sum("_n").over(per_category) - F.col("_n")).alias("_on"),
@@ -69,8 +69,8 @@ def out_of_fold(
         others = others.join(F.broadcast(prior), "_fold").withColumn(
             "_te", F.try_divide(F.coalesce("_os", F.lit(0.0)) + m * F.col("_prior"), F.col("_on") + m)
         )
-    table = others.select(category, "_fold", F.col("_te").alias(output))
-    return left_lookup(marked, table, [category, "_fold"]).select(*[quoted(c) for c in train.columns], output)
+    table = others.select(quoted(category), "_fold", F.col("_te").alias(output))
+    return left_lookup(marked, table, [category, "_fold"]).select(*[quoted(c) for c in train.columns], quoted(output))
 
 
 def on_test(train: DataFrame, test: DataFrame, category: str, target: str, output: str) -> DataFrame:

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gristmill import scratch_path
 from gristmill.operators import journal as ops
@@ -96,7 +97,10 @@ def history_topk_per_task(spark, d):
 
 def journal_to_json(spark, d):
     clicks = ops.with_tag(ops.with_status(records(spark, d), "success"), "click")
-    return ops.to_json_array(ops.latest(clicks))
+    # read back: numbers print differently in either engine
+    array = F.from_json("history", T.ArrayType(ops.RECORD))
+    rows = ops.to_json_array(clicks).select(F.posexplode(array).alias("place", "record"))
+    return _shown(rows.select(F.col("place").cast("bigint").alias("place"), "record.*"))
 
 
 def _messy(spark, d):
@@ -244,6 +248,11 @@ SQL = {
     "history_topk_per_task": f"""select task_id, place, submission_id, timestamp from (select *,
         row_number() over (partition by task_id order by timestamp desc, submission_id) as place from ({_RECORDS}))
         where place <= 20""",
+    "journal_to_json": f"""
+        select row_number() over (order by timestamp desc, submission_id) - 1 as place,
+               * replace (array_to_string(tags, ',') as tags)
+        from ({_RECORDS}) where coalesce(is_bug, true) = false and list_contains(tags, 'click')
+        order by timestamp desc, submission_id limit 20""",
     "journal_normalize": f"""
         with raw as (select *, lower({_WORD}) as word, case when event_id % 19 <> 0 then (event_id % 100)::double end as num
                      from events),

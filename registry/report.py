@@ -83,8 +83,7 @@ def encoding_map(spark, d):
 
 def encoding_map_cross(spark, d):
     back = _handed_over(spark, cat=_cat(spark, d), cross=cross.cross_coverage(_pair_counts(spark, d)))
-    pairs = [pair_name(a, b) for a, b in PAIRS]
-    maps = encode.encoding_maps(back["cat"], back["top"], LINE_CAT, back["cross"], pairs)
+    maps = encode.encoding_maps(back["cat"], back["top"], LINE_CAT, back["cross"], PAIRS)
     children = [b for _, b in PAIRS]
     return reduce(DataFrame.unionByName, [maps[c] for c in children])
 

@@ -151,7 +151,7 @@ def test_child_map_by_hand(spark):
         [("a__x__b", "p", "x", 1, 5), ("a__x__b", "p", "y", 2, 4), ("a__x__b", "q", "y", 1, 9), ("a__x__b", "r", "z", 1, 99)],
         "pair string, a string, b string, rank int, count bigint",
     )
-    maps = encode.encoding_maps(summary, top, ["a", "b"], kept, ["a__x__b"])
+    maps = encode.encoding_maps(summary, top, ["a", "b"], kept, [("a", "b")])
     got = {r.value: r.id for r in maps["b"].collect()}
     assert got == {"y": 0, "x": 1, "q-OTH": 2, "p-OTH": 3, "OTH": 4}
 

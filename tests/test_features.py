@@ -145,3 +145,17 @@ def test_clock_does_not_depend_on_the_session_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert got == {1711852200123456, -500000}
+
+
+def test_names_with_dots_and_blanks(spark):
+    rows = [("a", 1.0, 1), ("a", 3.0, 2), ("b", 5.0, 3), (None, 7.0, 4)]
+    df = spark.createDataFrame(rows, "`g.x` string, `v y` double, `r.k` long")
+    assert {r["g.x"]: r["group_size"] for r in groups.group_size(df, "g.x").collect()} == {"a": 2, "b": 1}
+    assert {r["g.x"]: r["group_nunique"] for r in groups.group_nunique(df, "g.x", "v y").collect()} == {"a": 2, "b": 1}
+    assert {r["r.k"]: r["g.x_v y_mean"] for r in groups.group_aggregates(df, df, "g.x", "v y").collect()} == {1: 2.0, 2: 2.0, 3: 5.0, 4: None}
+    assert {r["r.k"]: r["q"] for r in groups.ratio_to_group_mean(df, df, "g.x", "v y", "q").collect()} == {1: 0.5, 2: 1.5, 3: 1.0, 4: None}
+    for smoothing in (None, 2.0):
+        made = target_encoding.out_of_fold(df, "g.x", "v y", "r.k", "t.e", smoothing=smoothing)
+        assert made.columns == [*df.columns, "t.e"] and made.count() == 4
+    past = timeline.past_features(df.withColumn("t.s", F.timestamp_seconds("`r.k`")), "g.x", "t.s", "r.k", "v y", lags=[1])
+    assert {r["r.k"]: r["v y_lag1"] for r in past.collect()} == {1: None, 2: 1.0, 3: None, 4: None}

@@ -129,3 +129,19 @@ def test_task_resolution(spark):
     df = spark.createDataFrame([("own", "env", "f"), ("", "env", "f"), (None, "", "f"), (None, None, None)], "a string, b string, c string")
     got = df.select(journal.resolve_task(F.col("a"), F.col("b"), F.col("c")).alias("t")).collect()
     assert [r.t for r in got] == ["own", "env", "task_f", "default_task"]
+
+
+def test_a_trailing_line_break_is_no_task_id(spark):
+    frame = spark.createDataFrame([("abc",), ("abc\n",), ("",), (None,), ("a b",), ("A_-9",)], "t string")
+    assert [r[0] for r in frame.select(journal.valid_task_id(F.col("t"))).collect()] == [True, False, False, False, False, True]
+
+
+def test_tree_of_a_long_chain_a_cycle_and_a_missing_parent(spark):
+    rows = [("t", f"n{k}", f"n{k - 1}" if k else None) for k in range(300)]
+    rows += [("t", "c1", "c2"), ("t", "c2", "c1"), ("t", "d", "c1"), ("t", "m", "gone"), ("u", "n1", "n0")]
+    frame = spark.createDataFrame([(f"{k:05d}", *r) for k, r in enumerate(rows)], "timestamp string, task_id string, submission_id string, parent_id string")
+    blank = {f.name: F.lit(None).cast(f.dataType) for f in journal.RECORD if f.name not in frame.columns}
+    got = {(r.task_id, r.submission_id): (r.root, r.depth) for r in journal.tree(frame.withColumns(blank)).collect()}
+    assert len(got) == len(rows)
+    assert all(got["t", f"n{k}"] == ("n0", k) for k in range(300))
+    assert got["t", "c1"] == got["t", "d"] == (None, None) and got["t", "m"] == ("m", 0) and got["u", "n1"] == ("n1", 0)

@@ -1,8 +1,10 @@
+import re
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import plan_of
 from gristmill.operators import leakage
 
 
@@ -34,3 +36,12 @@ def test_an_order_that_is_no_line_shows_in_the_ranks(spark):
     assert got.rank_correlation == pytest.approx(1) and got.correlation < 0.5
     assert leakage.id_order(frame.where("id = 1"), "id", "y").first().rank_correlation is None
     assert leakage.id_order(frame.where("false"), "id", "y").first().rank_correlation is None
+
+
+def test_shared_rows_compare_rows_not_only_digests(spark):
+    left = spark.createDataFrame([("a", 1.5), ("a", 1.5), (None, None), ("b", 2.0), ("", None)], "t string, x double")
+    right = spark.createDataFrame([("a", 1.5), (None, None), ("b", 2.5), (None, 2.0)], "t string, x double")
+    assert sorted(map(str, leakage.shared_rows(left, right).collect())) == sorted(["Row(t='a', x=1.5)", "Row(t=None, x=None)"])
+    plan = plan_of(leakage.shared_rows(left, right))
+    assert not re.search(r"Exchange hashpartitioning\((t|x)#", plan)
+    assert leakage.shared_rows(left.where("false"), right).count() == 0

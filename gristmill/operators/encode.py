@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions.roles import quoted
 from gristmill.operators.cross import pair_name
 from gristmill.operators.impute import one_row
 from gristmill.operators.lookup import settled
+from gristmill.operators.spread import running_sums
 
 # Fixed value: the label of everything that has no id of its own.
 OTHER = "OTH"
@@ -32,44 +33,24 @@ def child_map(parent: DataFrame, cross: DataFrame, pair: Sequence[str]) -> DataF
     Distinct b-values are numbered from 0 as first seen (a-values by their
     largest count, ties by value; then b by rank), followed by one ``a-OTH`` per
     a-value and a final ``OTH``. a-values the parent's map does not know are
-    skipped. Numbers are given per a-value and shifted by the totals of the
-    earlier ones, so the numbering does not gather all b-values in one task.
+    skipped. Places and numbers are running counts over ranges, so neither many
+    a-values nor many b-values meet in one task.
     """
-    child = pair[1]
+    one = {"one": F.lit(1).cast("bigint")}
     known = cross.where(F.col("pair") == pair_name(*pair)).join(parent.select(F.col("value").alias("a")), "a", "left_semi")
-    lead = Window.partitionBy("pair").orderBy(F.desc("top"), "a")
-    order = (
-        known.groupBy("pair", "a")
-        .agg(F.max("count").alias("top"))
-        .select("pair", "a", F.row_number().over(lead).cast("bigint").alias("place"))
-    )
-    first = (
-        known.join(order, ["pair", "a"])
-        .groupBy("pair", "b")
-        .agg(F.min(F.struct("place", "rank")).alias("seen"))
-        .select("pair", "b", "seen.place", "seen.rank")
-    )
-    earlier = Window.partitionBy("pair").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = (
-        order.join(first.groupBy("pair", "place").agg(F.count(F.lit(1)).alias("fresh")), ["pair", "place"], "left")
-        .withColumn("fresh", F.coalesce("fresh", F.lit(0)))
-        .withColumn("shift", F.coalesce(F.sum("fresh").over(earlier), F.lit(0)))
-    )
-    numbered = first.join(shifts.select("pair", "place", "shift"), ["pair", "place"]).select(
-        F.col("b").alias("value"),
-        (F.col("shift") + F.row_number().over(Window.partitionBy("pair", "place").orderBy("rank")) - 1).alias("id"),
-    )
-    totals = shifts.groupBy("pair").agg(F.sum("fresh").alias("children"), F.count(F.lit(1)).alias("parents"))
-    others = order.join(totals, "pair").select(
-        F.concat("a", F.lit(f"-{OTHER}")).alias("value"), (F.col("children") + F.col("place") - 1).alias("id")
-    )
+    known = settled(known.select("a", "b", "rank", "count"))
+    leading = known.groupBy("a").agg(F.max("count").alias("top"))
+    order = running_sums(leading, [], [F.desc("top"), F.col("a")], one).select("a", F.col("one_before").alias("place"))
+    seen = known.join(order, "a").groupBy("b").agg(F.min(F.struct("place", "rank")).alias("seen")).select("b", "seen.*")
+    numbered = running_sums(seen, [], [F.col("place"), F.col("rank")], one)
+    numbered = numbered.select(F.col("b").alias("value"), F.col("one_before").alias("id"))
+    children, parents = (t.agg(F.count(F.lit(1))).scalar() for t in (numbered, order))
+    others = order.select(F.concat("a", F.lit(f"-{OTHER}")).alias("value"), (children + F.col("place")).alias("id"))
     # an empty pair still has its OTH, numbered 0
-    last = totals.agg(
-        F.lit(OTHER).alias("value"), F.coalesce(F.max(F.col("children") + F.col("parents")), F.lit(0)).alias("id")
-    )
+    last = known.sparkSession.range(1).select(F.lit(OTHER).alias("value"), (children + parents).alias("id"))
     everything = numbered.unionByName(others).unionByName(last)
     # a label given twice keeps its later, larger number
-    return everything.groupBy("value").agg(F.max("id").alias("id")).select(F.lit(child).alias("feature"), "value", "id")
+    return everything.groupBy("value").agg(F.max("id").alias("id")).select(F.lit(pair[1]).alias("feature"), "value", "id")
 
 
 def encoding_maps(

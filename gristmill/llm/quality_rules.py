@@ -7,9 +7,9 @@ in one bin). The distance is the Jensen-Shannon distance (square root of the
 divergence in bits, 0 to 1). Each comparison has a minimum length, below which
 a histogram says too little and the rule does not apply.
 
-A language's histograms are sums over all its documents. Languages with less
-than a thousandth of all words have none, so there are at most 1,000; documents
-of those, and those without a language, are compared with the nearest one.
+A language's histograms are sums over all its documents. A language with too little
+text for the guards has none, and its documents pass these rules, for there is nothing
+to compare them with; documents without a language are compared with the nearest one.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.llm.arrow_text import IS_SPACE, find_words, mixed, row_sums, span_hashes, text_slices, window_hashes
-from gristmill.llm.storage import send_code, shared_value
+from gristmill.llm.storage import send_code, shared_value, written
 
 SYMBOLS = b"#*$%&|<>"
 #: Character classes by byte; a character outside ASCII counts once, by its first byte.
@@ -71,8 +71,13 @@ def class_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.bincount(at[kind != 255], minlength=rows * len(CLASSES)).reshape(rows, -1)
 
 
-def references(docs: DataFrame, text: str = "text", lang: str = "lang", common: int = 48) -> dict[str, Reference]:
-    """The histograms of each language, over all documents of it."""
+def references(
+    docs: DataFrame, text: str = "text", lang: str = "lang", common: int = 48,
+    min_chars: int = 200, min_words: int = 100, languages: int | None = None,
+) -> dict[str, Reference]:
+    """The histograms of each language with enough text, over all documents of it. About a
+    kilobyte for each reaches the driver and the tasks; ``languages`` bounds them, if given,
+    to those of most words. The counts are written once."""
     frame = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("lang is not null")
 
     def count(batches):
@@ -109,21 +114,26 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang", common:
 
     send_code(docs.sparkSession)
     counts = frame.mapInArrow(count, "lang string, is_word boolean, key bigint, n bigint")
-    counts = counts.groupBy("lang", "is_word", "key").agg(F.sum("n").alias("n"))
+    counts = written(counts.groupBy("lang", "is_word", "key").agg(F.sum("n").alias("n")), "counts")
+    totals = counts.groupBy("lang").agg(
+        F.sum(F.when(F.col("is_word"), F.col("n"))).alias("total"), F.sum(F.when(~F.col("is_word"), F.col("n"))).alias("chars")
+    )
+    enough = totals.where((F.col("total") >= min_words) & (F.col("chars") >= min_chars)).select("lang", "total")
+    if languages is not None:
+        enough = enough.orderBy(F.desc("total"), "lang").limit(languages)
     best = Window.partitionBy("lang", "is_word").orderBy(F.desc("n"), "key")
     ranked = counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= max(common, len(CLASSES)))
-    totals = counts.groupBy("lang", "is_word").agg(F.sum("n").alias("total"))
-    # at most 1,000 languages of `common` words each reach the driver
-    whole = totals.where("is_word").agg(F.sum("total")).first()[0] or 0
-    large = totals.where(F.col("is_word") & (F.col("total") * 1000 >= whole)).select("lang", "total")
-    rows = ranked.join(F.broadcast(large), "lang").collect()
+    rows = ranked.join(enough, "lang").collect()
     out = {}
-    for name in sorted({r["lang"] for r in rows}):
-        words = sorted((r["key"] % (1 << 64), r["n"]) for r in rows if r["lang"] == name and r["is_word"] and r["rank"] <= common)
-        total = next(r["total"] for r in rows if r["lang"] == name)
+    of: dict[str, list] = {}
+    for r in rows:
+        of.setdefault(r["lang"], []).append(r)
+    for name in sorted(of):
+        words = sorted((r["key"] % (1 << 64), r["n"]) for r in of[name] if r["is_word"] and r["rank"] <= common)
+        total = of[name][0]["total"]
         classes = np.zeros(len(CLASSES))
-        for r in rows:
-            if r["lang"] == name and not r["is_word"]:
+        for r in of[name]:
+            if not r["is_word"]:
                 classes[r["key"]] = r["n"]
         shares = np.array([n for _, n in words] + [total - sum(n for _, n in words)], float) / total
         out[name] = Reference(classes / classes.sum(), np.array([w for w, _ in words], np.uint64), shares)
@@ -173,15 +183,17 @@ def check(
     min_words: int = 100,
     max_class_distance: float = 0.3,
     max_word_distance: float = 0.5,
+    languages: int | None = None,
 ) -> DataFrame:
     """keys, the base counts, ``class_distance``, ``word_distance`` (null where the
-    text is shorter than the guard), ``base_failed`` and ``kept``.
+    text is shorter than the guard, or its language has no reference), ``base_failed``
+    and ``kept``.
 
     A null text counts as empty and fails the base rule. Without any language
     the distances are null. Repeated rows give repeated results; columns other
     than ``keys`` are left behind, whatever their names.
     """
-    known = references(docs, text, lang, common)
+    known = references(docs, text, lang, common, min_chars, min_words, languages)
     shared = shared_value(docs.sparkSession, known)
     keys = list(keys)
     frame = docs.select(*keys, F.col(lang).cast("string").alias("__lang"), F.col(text).alias("__text"))
@@ -190,6 +202,7 @@ def check(
     def of(batches):
         refs = shared.value
         names = list(refs)
+        place_of = {n: k for k, n in enumerate(names)}
         for batch in batches:
             langs = batch.column(batch.schema.get_field_index("__lang")).to_pylist()
             texts = batch.column(batch.schema.get_field_index("__text"))
@@ -197,16 +210,19 @@ def check(
                 rows = len(offsets) - 1
                 classes = class_counts(data, offsets)
                 shares = classes / np.maximum(classes.sum(1, keepdims=True), 1)
-                far = np.array([js_distance(shares, refs[n].classes) for n in names]).reshape(len(names), rows)
-                own = np.array([names.index(x) if x in refs else -1 for x in langs[first : first + rows]], np.int64)
-                if names:
-                    own = np.where(own < 0, far.argmin(0), own)
+                own = np.array([place_of.get(x, -1) for x in langs[first : first + rows]], np.int64)
+                class_far = np.full(rows, np.nan)
+                for code in np.unique(own[own >= 0]):
+                    mine = own == code
+                    class_far[mine] = js_distance(shares[mine], refs[names[code]].classes)
+                lost = np.flatnonzero([x is None for x in langs[first : first + rows]]) if names else []
+                if len(lost):
+                    far = np.array([js_distance(shares[lost], refs[n].classes) for n in names])
+                    own[lost], class_far[lost] = far.argmin(0), far.min(0)
                 word_far = np.zeros(rows)
-                for code, name in enumerate(names):
+                for code in np.unique(own[own >= 0]):
                     mine = np.flatnonzero(own == code)
-                    if not len(mine):
-                        continue
-                    ref = refs[name]
+                    ref = refs[names[code]]
                     place = np.full(rows, -1)
                     place[mine] = np.arange(len(mine))
                     take = place[words.row] >= 0
@@ -215,9 +231,8 @@ def check(
                     width = len(ref.words) + 1
                     n = np.bincount(place[words.row][take] * width + at, minlength=len(mine) * width).reshape(-1, width)
                     word_far[mine] = js_distance(n / np.maximum(n.sum(1, keepdims=True), 1), ref.shares)
-                class_far = far[own, np.arange(rows)] if names else np.zeros(rows)
-                class_far = np.where((classes.sum(1) >= min_chars) & bool(names), class_far, np.nan)
-                word_far = np.where((base["n_words"] >= min_words) & bool(names), word_far, np.nan)
+                class_far = np.where(classes.sum(1) >= min_chars, class_far, np.nan)
+                word_far = np.where((base["n_words"] >= min_words) & (own >= 0), word_far, np.nan)
                 failed = (base["n_words"] < 50) | (100 * base["n_repeat_words"] > 50 * base["n_words"])
                 kept = ~failed & ~(class_far > max_class_distance) & ~(word_far > max_word_distance)
                 own_keys = [batch.column(batch.schema.get_field_index(k)).slice(first, rows) for k in keys]

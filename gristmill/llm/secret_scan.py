@@ -1,8 +1,8 @@
 """Secret scans: patterns, and a battery of randomness tests with false-discovery control.
 
-Three patterns give the base spans. Further candidates are runs of 24 or more
-characters that mix letters and digits; the smallest known alphabet that holds a
-run is its encoding. Three tests ask whether its symbols look drawn at random:
+Three patterns give the base spans. Further candidates are all other runs of 24 or
+more characters of an encoding, letters or digits alone included; the smallest known
+alphabet that holds a run is its encoding. Three tests ask whether its symbols look drawn at random:
 chi-squared uniformity over the alphabet, the Wald-Wolfowitz runs test about the
 alphabet's middle, and lag-one serial correlation. Fisher's method combines them.
 
@@ -12,7 +12,8 @@ can show little and would else be judged by what long ones show. The candidates
 that are not cleared are secrets. The procedure works on p-values rounded up to
 1/50 of a power of ten, so it needs only counts by band and step.
 
-Everything is DataFrame functions: one pass counts, one finds.
+Everything is DataFrame functions. Texts are looked through once: what is found is
+written, the limits are counted from it, and both are read again.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gristmill.llm.storage import written
+
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
@@ -34,11 +37,15 @@ HINT = rf"(?i:password|passwd|secret|token|api_?key)|{ACCESS}|{HEX}|{RUN}"
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: Encodings by pattern, smallest alphabet first, with the alphabet in value order.
 ENCODINGS = [
+    (r"^[0-9]+$", _DIGITS),
     (r"^[0-9a-f]+$", _DIGITS + _LOWER[:6]),
     (r"^[0-9A-F]+$", _DIGITS + _UPPER[:6]),
+    (r"^[a-z]+$", _LOWER),
+    (r"^[A-Z]+$", _UPPER),
     (r"^[A-Z2-7]+$", _UPPER + "234567"),
     (r"^[a-z0-9]+$", _DIGITS + _LOWER),
     (r"^[A-Z0-9]+$", _DIGITS + _UPPER),
+    (r"^[A-Za-z]+$", _UPPER + _LOWER),
     (r"^[A-Za-z0-9]+$", _UPPER + _LOWER + _DIGITS),
     (r"^[A-Za-z0-9+/]+$", _UPPER + _LOWER + _DIGITS + "+/"),
     (r"^[A-Za-z0-9_-]+$", _UPPER + _LOWER + _DIGITS + "-_"),
@@ -181,9 +188,8 @@ def _candidates(text: Column, base: Column) -> Column:
         step = F.least(F.lit(LAST_STEP), F.floor(-F.log10(F.greatest(randomness(m["value"]), F.lit(1e-300))) * STEPS))
         return F.struct(m["start"], m["end"], F.floor(F.log2(length)).cast("int").alias("band"), step.cast("int").alias("step"))
 
-    mixed = lambda m: m["value"].rlike("[0-9].*[0-9]") & m["value"].rlike("[A-Za-z]")
     apart = lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-    found = F.transform(F.filter(_found(text, RUN), lambda m: mixed(m) & apart(m)), tested)
+    found = F.transform(F.filter(_found(text, RUN), apart), tested)
     return F.when(text.rlike(RUN), found).otherwise(F.array().cast(_RUNS)).cast(_RUNS)
 
 
@@ -219,8 +225,8 @@ def scan(docs: DataFrame, text: str = "text", level: float = 0.05) -> DataFrame:
     count as often as they occur. The per-band limits are at most a few dozen
     rows, one for each power of two in length, and are broadcast.
     """
-    scanned = _scanned(docs, text)
-    limits = cleared_steps(_scanned(docs.select(text), text), level)
+    scanned = written(_scanned(docs, text), "scanned")
+    limits = cleared_steps(scanned, level)
     table = limits.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("band", "least"))).alias("__limits"))
     kept = F.filter("__scan.runs", lambda r: ~(r["step"] >= F.coalesce(F.try_element_at("__limits", r["band"]), F.lit(LAST_STEP + 1))))
     extra = F.transform(kept, lambda r: F.struct(r["start"], F.lit(3).alias("rank"), r["end"])).cast(_SPANS)

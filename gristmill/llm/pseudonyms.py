@@ -1,7 +1,7 @@
 """Format-preserving pseudonyms for validated numbers and dates.
 
-Found values are checked first (Luhn for cards, ranges for addresses, calendar for
-dates, numbering plan for telephones). What may vary in a value is one number in
+Found values are checked first (Luhn for cards, modulo 97 for bank accounts, ranges for
+addresses, calendar for dates, numbering plan for telephones). What may vary in a value is one number in
 a domain of known size; a keyed Feistel network permutes that domain, walking on
 until it lands inside. Equal values get equal pseudonyms in every document, two
 values never share one, and a pseudonym is again a valid value of its format.
@@ -21,21 +21,32 @@ from pyspark.sql import functions as F
 from gristmill.llm.storage import shared_value
 
 ROUNDS = 10
-KINDS = ["card", "phone", "address", "date", "mail"]
+KINDS = ["card", "phone", "address", "date", "mail", "iban"]
 
 #: What may be a value, by kind; each match is validated.
 PATTERNS = {
     "mail": r"(?<![\w.+-])([A-Za-z0-9][A-Za-z0-9._+-]*)@([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})",
-    "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])",
-    "phone": r"(?<![\w+])\+1 ?\(?[2-9]\d\d\)?[ -][2-9]\d\d-\d{4}(?!\d)",
-    "address": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)",
-    "date": r"(?<![\w./-])(?:\d{4}-\d\d-\d\d|\d\d/\d\d/\d{4}|\d\d\.\d\d\.\d{4})(?![\w/-])",
+    "iban": r"(?<!\w)[A-Z]{2}[0-9]{2}(?:(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?|[A-Z0-9]{11,30})(?!\w)",
+    "card": r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])",
+    "phone": r"(?<![\w+])\+1 ?\(?[2-9][0-9]{2}\)?[ -][2-9][0-9]{2}-[0-9]{4}(?![0-9])",
+    "address": r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])",
+    "date": r"(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![\w/-])",
 }
+_LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 _FIRST_DAY, _LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 _ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
 _WORTH = re.compile("[0-9@]")
 
 
+def _drawn(message: bytes, key: bytes, n_bytes: int) -> bytes:
+    """``n_bytes`` keyed bytes of a message: one digest, or as many as it takes, numbered."""
+    if n_bytes <= 64:
+        return hashlib.blake2b(message, key=key, digest_size=n_bytes).digest()
+    whole = hashlib.blake2b(message, key=key).digest()
+    blocks = (hashlib.blake2b(whole + k.to_bytes(4, "big"), key=key).digest() for k in range(-(-n_bytes // 64)))
+    return b"".join(blocks)[:n_bytes]
+
+
 def permuted(value: int, size: int, key: bytes, tweak: str) -> int:
     """A keyed permutation of 0 .. size - 1: a balanced Feistel network on the
     enclosing even number of bits, repeated until the result is inside."""
@@ -43,11 +54,12 @@ def permuted(value: int, size: int, key: bytes, tweak: str) -> int:
         return value
     half = ((size - 1).bit_length() + 1) // 2
     mask = (1 << half) - 1
+    n_bytes = (half + 7) // 8 + 4
     while True:
         left, right = value >> half, value & mask
         for n in range(ROUNDS):
-            digest = hashlib.blake2b(f"{tweak}:{n}:{right}".encode(), key=key, digest_size=(half + 7) // 8 + 4).digest()
-            left, right = right, left ^ int.from_bytes(digest, "big") & mask
+            drawn = _drawn(f"{tweak}:{n}:".encode() + right.to_bytes(n_bytes, "big"), key, n_bytes)
+            left, right = right, left ^ int.from_bytes(drawn, "big") & mask
         value = left << half | right
         if value < size:
             return value
@@ -109,27 +121,66 @@ def _date(found: str, key: bytes) -> str | None:
     return new.strftime(form)
 
 
+_CLASSES = [_LOWER, _UPPER, _DIGITS]
+
+
+def _within_classes(text: str, key: bytes, tweak: str) -> str:
+    """``text`` with its ASCII letters and digits permuted as a whole, each character
+    staying in its class. The number that stands for them is read and written by halves,
+    so that very long texts take little more than linear time."""
+    own = [next((k for k, members in enumerate(_CLASSES) if c in members), None) for c in text]
+    kinds = [k for k in own if k is not None]
+    shape = "".join("?" if k is None else str(k) for k in own)
+    values = [_CLASSES[k].index(c) for c, k in zip(text, own, strict=True) if k is not None]
+    sizes = [len(_CLASSES[k]) for k in kinds]
+
+    def joined(low: int, high: int) -> tuple[int, int]:
+        if high - low <= 1:
+            return (values[low], sizes[low]) if high > low else (0, 1)
+        middle = (low + high) // 2
+        (a, m), (b, n) = joined(low, middle), joined(middle, high)
+        products[low, high] = n
+        return a * n + b, m * n
+
+    def parted(value: int, low: int, high: int) -> None:
+        if high - low <= 1:
+            if high > low:
+                values[low] = value
+            return
+        middle = (low + high) // 2
+        a, b = divmod(value, products[low, high])
+        parted(a, low, middle)
+        parted(b, middle, high)
+
+    products: dict[tuple[int, int], int] = {}
+    value, size = joined(0, len(values))
+    parted(permuted(value, size, key, tweak + shape), 0, len(values))
+    drawn = iter(_CLASSES[k][v] for k, v in zip(kinds, values, strict=True))
+    return "".join(c if k is None else next(drawn) for c, k in zip(text, own, strict=True))
+
+
 def _mail(found: str, key: bytes) -> str:
     """The letters and digits before the @ are permuted within their classes."""
     name, host = found.split("@")
-    classes = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"]
-    own = [next((k for k in classes if c in k), None) for c in name]
-    value, size = 0, 1
-    for c, k in zip(name, own, strict=True):
-        if k:
-            value, size = value * len(k) + k.index(c), size * len(k)
-    shape = "".join("?" if k is None else str(classes.index(k)) for k in own)
-    value = permuted(value, size, key, f"mail{shape}{host.lower()}")
-    out = []
-    for c, k in zip(reversed(name), reversed(own), strict=True):
-        if k:
-            value, at = divmod(value, len(k))
-            c = k[at]
-        out.append(c)
-    return "".join(reversed(out)) + "@" + host
-
-
-_REPLACE: dict[str, Callable[[str, bytes], str | None]] = {"card": _card, "phone": _phone, "address": _address, "date": _date, "mail": _mail}
+    return _within_classes(name, key, f"mail{host.lower()}:") + "@" + host
+
+
+def iban_digits(country: str, body: str) -> str:
+    """The two check digits (ISO 7064, modulo 97)."""
+    return f"{98 - int(''.join(str(int(c, 36)) for c in body + country + '00')) % 97:02}"
+
+
+def _iban(found: str, key: bytes) -> str | None:
+    plain = found.replace(" ", "")
+    country, check, body = plain[:2], plain[2:4], plain[4:]
+    if not 15 <= len(plain) <= 34 or iban_digits(country, body) != check:
+        return None
+    body = _within_classes(body, key, f"iban{country}")
+    left = iter(country + iban_digits(country, body) + body)
+    return "".join(c if c == " " else next(left) for c in found)
+
+
+_REPLACE: dict[str, Callable[[str, bytes], str | None]] = {"card": _card, "phone": _phone, "address": _address, "date": _date, "mail": _mail, "iban": _iban}
 
 
 def replaced(text: str, key: bytes) -> tuple[str, dict[str, int]]:

@@ -77,10 +77,13 @@ def op6_containment_search(spark, sf_dir):
 _WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 OP6_SQL = f"""
 with words as (select doc_id, {_WORDS.format("text")} as w from documents),
-shingles as (select distinct doc_id, unnest([array_to_string(w[i:i+4], ' ') for i in range(1, len(w) - 3)]) as s from words),
 item_words as (select item_id, {_WORDS.format("text")} as w from benchmark),
+shingles as (
+    select distinct doc_id, unnest([array_to_string(w[i:i+n-1], ' ') for i in range(1, len(w) - n + 2)]) as s
+    from words, (select 5 as n union select len(w) from item_words where len(w) between 1 and 4)),
 item_shingles as (
-    select distinct item_id, unnest([array_to_string(w[i:i+4], ' ') for i in range(1, len(w) - 3)]) as s from item_words),
+    select distinct item_id, unnest([array_to_string(w[i:i+4], ' ') for i in range(1, greatest(len(w) - 3, 2))]) as s
+    from item_words where len(w) > 0),
 sizes as (select item_id, count(*) as n_shingles from item_shingles group by item_id)
 select doc_id, item_id, count(*) as n_shared, any_value(n_shingles) as n_shingles
 from shingles join item_shingles using (s) join sizes using (item_id)
@@ -102,7 +105,7 @@ def quoting_messages(spark, sf_dir) -> DataFrame:
     own = Window.partitionBy("conv_id").orderBy("turn")
     quoted = lambda text, mark: F.concat(F.lit(mark), F.regexp_replace(text, "\n", "\n" + mark))
     turns = table(spark, sf_dir, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"),
+        (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("message_id"),
         "text",
         *(F.lag(c, k).over(own).alias(f"{c}{k}") for c in ("role", "text") for k in (1, 2)),
     )
@@ -118,7 +121,7 @@ def op8_quote_links(spark, sf_dir):
 
 OP8_SQL = r"""
 with recursive turns as (
-    select conv_id * 1000 + turn as message_id,
+    select conv_id * 1000000 + turn as message_id,
            trim(regexp_replace(lower(text), '\s+', ' ', 'g')) as norm,
            lag(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) over (partition by conv_id order by turn) as before
     from conversations),

@@ -26,6 +26,8 @@ HASHES = 2
 #: Training documents taken per language at most, and n-grams kept per language.
 SAMPLE_PER_LANGUAGE = 4000
 GRAMS_PER_LANGUAGE = 20_000
+#: Languages learned at most.
+LANGUAGES = 1024
 
 #: ASCII that is no letter becomes a space; upper case was lowered before.
 FOLD = np.array([b if b >= 128 or 97 <= b <= 122 else 65 <= b <= 90 and b + 32 or 32 for b in range(256)], np.uint8)
@@ -80,18 +82,21 @@ def fit(
     sample: int = SAMPLE_PER_LANGUAGE,
     keep: int = GRAMS_PER_LANGUAGE,
     salt: str = "language",
+    languages: int = LANGUAGES,
 ) -> LanguageFilter:
     """Learn from the rows with a language: about ``sample`` documents of each,
     chosen by a hash of the text, and the ``keep`` n-grams found in most of them.
-    N-grams in a single document are left out unless that is all there is."""
+    N-grams in a single document are left out unless that is all there is. Of more than
+    ``languages`` names those with most documents are learned: the table takes 4 MB for
+    each 64 of them."""
     frame = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("lang is not null")
-    counts = frame.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
+    counts = frame.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
     names = [r["lang"] for r in counts]
     if not names:
         return LanguageFilter([], np.zeros((1 << SLOT_BITS, 1), np.uint64), np.zeros(0))
     unit = F.pmod(F.xxhash64("text", F.lit(salt)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, sample / r["count"]))])
-    chosen = frame.where(unit < share[F.col("lang")])
+    chosen = frame.where(unit < F.try_element_at(share, F.col("lang")))
 
     def count(batches):
         for batch in batches:

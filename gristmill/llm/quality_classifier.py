@@ -147,6 +147,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     names = list(statistics(text))
     # the sample's statistics, a few numbers for each document
     rows = chosen.select("__y", *(PREFIX + n for n in names)).toPandas().to_numpy(float)
+    # one order whatever the tasks' was: sums and equal splits do not depend on it
+    rows = rows[np.lexsort(rows.T)]
     y, x = rows[:, 0], rows[:, 1:]
     if not len(y) or y.min() == y.max():
         return RuleModel([], 0.0)

@@ -34,16 +34,16 @@ def _canonical(text: Column) -> Column:
 def own_words(text: Column) -> Column:
     """The text without quoted lines and the lines that announce them."""
     text = F.regexp_replace(_canonical(text), ANNOUNCE, "")
-    return F.regexp_replace(F.regexp_replace(text, r"(?m)^>[^\n]*\n?", ""), r"^\s+|\s+$", "")
+    return F.regexp_replace(F.regexp_replace(text, r"(?m)^>[^\n]*\n?", ""), r"^\s++|(?<!\s)\s++$", "")
 
 
 def normalised(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(text), r"\s++", " "))
 
 
 def _passages(text: Column) -> Column:
     """The whole and, if there are several, its paragraphs: array<struct<hash, chars>>."""
-    parts = F.split(text, r"\n[ \t]*\n\s*")
+    parts = F.split(text, r"\n[ \t]*+\n\s*+")
     whole = F.array(text)
     every = F.array_distinct(F.transform(F.when(F.size(parts) > 1, F.concat(whole, parts)).otherwise(whole), normalised))
     long = F.filter(every, lambda p: F.length(p) >= MIN_CHARS)

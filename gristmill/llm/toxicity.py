@@ -37,24 +37,16 @@ from pyspark.sql import functions as F
 from gristmill.llm.arrow_text import find_words, text_slices
 from gristmill.llm.storage import send_code, shared_value, written
 
-SPAN, DECAY = 6, 0.6
+SPAN, DECAY = 6, 0.9
 #: Offsets of the second and third letter of a subsequence, and its weight.
 STEPS = [(a, b, DECAY ** (b + 1)) for a, b in combinations(range(1, SPAN), 2)]
 CODES = 27  # letters, and one for any other character of a word
 #: Labelled documents used for training at most.
 SAMPLE = 8_000
-LANDMARKS = 96
-POSITIVES, NEGATIVES = 400, 6_000
-#: Witnesses have at least this share of the neighbours that the strongest has.
-RARE = 0.1
 #: Longest word looked at as one; longer ones are cut into overlapping parts.
 WORD = 40
 
 _SPREAD = regex.compile(r"(?<!\S)(?:\pL[ \t]){2,}\pL(?!\S)")
-_FOLDED = str.maketrans({
-    **dict(zip("àáâãäåçèéêëìíîïñòóôõöùúûüýÿß", "aaaaaaceeeeiiiinooooouuuuyys", strict=True)),
-    **dict(zip("013457@$", "oieastas", strict=True)),
-})
 #: Letters keep their number 1 to 26, white space ends a word, other ASCII drops out, the rest is 27.
 CODE_OF = np.full(256, CODES, np.uint8)
 CODE_OF[:128] = 0
@@ -63,16 +55,8 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(b"\t\n\x0b\x0c\r ")] = True
 
 
-def folded(text: str) -> str:
-    """Lower case, accents and look-alikes folded, spaced-out letters joined."""
-    text = text.lower()
-    if _SPREAD.search(text):
-        text = _SPREAD.sub(lambda m: m.group().replace(" ", "").replace("\t", ""), text)
-    return text.translate(_FOLDED)
-
-
 def _fold_column(texts: pa.Array) -> pa.Array:
-    """``folded`` for a whole column, with vectorised replacements."""
+    """Lower case, and letters set apart by single spaces joined."""
     out = pc.utf8_lower(texts.cast(pa.large_string()).fill_null(""))
     spread = pc.match_substring_regex(out, r"(?:^|\s)\pL[ \t]\pL[ \t]\pL(?:\s|$)")
     if pc.any(spread).as_py():
@@ -126,11 +110,20 @@ def _codes(word: str) -> np.ndarray:
     return np.array([ord(c) - 96 if "a" <= c <= "z" else CODES for c in word], np.uint8)
 
 
-def _put_in(codes: np.ndarray) -> list[np.ndarray]:
-    """The word with one letter put in, once at every place inside it. The letters
+def _put_in(codes: np.ndarray, times: int) -> list[np.ndarray]:
+    """The word with one letter put in, ``times`` at every place inside it. The letters
     follow from the word, so that a model is the same whenever it is fitted."""
-    letters = np.random.default_rng(codes.astype(np.uint32)).integers(1, 27, len(codes))
-    return [np.insert(codes, k, letters[k]).astype(np.uint8) for k in range(1, len(codes))]
+    letters = np.random.default_rng(codes.astype(np.uint32)).integers(1, 27, (len(codes), times))
+    return [np.insert(codes, k, x).astype(np.uint8) for k in range(1, len(codes)) for x in letters[k]]
+
+
+def _far_apart(features: np.ndarray, most: int) -> list[int]:
+    """Rows to start with the first and always add the one least like those chosen."""
+    chosen, near = [0], features @ features[0]
+    while len(chosen) < min(most, len(features)):
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, features @ features[chosen[-1]])
+    return chosen
 
 
 def _matrix(words: list[np.ndarray]) -> np.ndarray:
@@ -203,11 +196,17 @@ def _word_table(rows: DataFrame) -> DataFrame:
     return totals.join(single, "word", "left").fillna(0, ["n_in_one"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, salt: str = "toxicity") -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, salt: str = "toxicity", landmarks: int = 512, witnesses: int = 400, clean_words: int = 6_000, rare: float = 0.1, put_in: int = 3) -> ToxicityModel:
     """Learn from at most about ``sample`` labelled documents, chosen by a hash of
     their key. Labels and keys that are null are left out; repeated label rows
     count once, as toxic if any is. Without both classes nothing is learnt and
     every score is 0.
+
+    What bounds the model, all by words of the sample: at most ``witnesses`` words of
+    toxic documents, those of most contexts, each with at least the share ``rare`` of the
+    contexts that the first has, and learnt with ``put_in`` letters at every place;
+    ``clean_words`` words of other documents, chosen by a hash, and the 500 that then
+    look worst, twice; ``landmarks`` of all these for the Nystrom features.
     """
     marked = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("toxic"))
     total = marked.count()
@@ -225,39 +224,40 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     # so many contexts that less than one word is expected to have them in toxic documents alone by chance
     least = max(3, math.ceil(math.log(sizes[0]) / math.log(sizes[2] / sizes[1])))
     seen = table.where((F.col("n_clean") == 0) & (F.col("n_contexts") - F.col("n_in_one") >= least))
-    positive = seen.orderBy(F.desc("n_contexts"), "word").limit(POSITIVES).select("word", "n_contexts").collect()
-    positive = [r["word"] for r in positive if r["n_contexts"] >= RARE * positive[0]["n_contexts"]]
-    negative = table.where("n_clean > 0").orderBy(F.xxhash64("word", F.lit(salt))).limit(NEGATIVES).collect()
+    positive = seen.orderBy(F.desc("n_contexts"), "word").limit(witnesses).select("word", "n_contexts").collect()
+    positive = [r["word"] for r in positive if r["n_contexts"] >= rare * positive[0]["n_contexts"]]
+    negative = table.where("n_clean > 0").orderBy(F.xxhash64("word", F.lit(salt))).limit(clean_words).collect()
     if not positive or not negative:
         return empty
     good = [_codes(word) for word in positive]
     bad = [_codes(r["word"]) for r in negative]
-    # landmarks: the strongest witness, then always the word least like those chosen; a third are negatives
+    clean = {c.tobytes() for c in bad}
+    good += [v for c in good for v in _put_in(c, put_in) if v.tobytes() not in clean]
+    # landmarks: spellings of witnesses that differ most, and the clean words most like them
     features = _matrix(good)
-    landmarks = [0]
-    near = features @ features[0]
-    while len(landmarks) < min(LANDMARKS * 2 // 3, len(good)):
-        landmarks.append(int(near.argmin()))
-        near = np.maximum(near, features @ features[landmarks[-1]])
-    base = np.vstack([features[landmarks], _matrix(bad[: LANDMARKS // 3])])
+    own = features[_far_apart(features, landmarks // 2)]
+    likeness = _kernel(bad, own).max(1)
+    base = np.vstack([own, _matrix([bad[k] for k in np.argsort(-likeness, kind="stable")[: landmarks - len(own)]])])
     values, vectors = np.linalg.eigh((base @ base.T).astype(np.float64))
     use = values > 1e-6
     root = vectors[:, use] / np.sqrt(values[use])
-    clean = {c.tobytes() for c in bad}
-    good += [v for c in good for v in _put_in(c) if v.tobytes() not in clean]
     train, y = good + bad, np.array([1.0] * len(good) + [-1.0] * len(bad))
     x = _kernel(train, base) @ root
     w, bias = _svm(x, y)
     send_code(docs.sparkSession)
-    for _ in range(2):  # the clean words that look worst, over the whole sample
+    # a sentence is as toxic as its worst word: of clean sentences the words that look worst
+    # are learnt as clean, of toxic ones those that look worse than any clean word as toxic
+    for _ in range(2):
         model = ToxicityModel((root @ w) @ base, bias, 1.0, 0.0)
         worst = _hard_words(chosen.where("toxic = 0"), model)
+        highest = max((m for _, m in worst), default=0.0)
+        telling = [(raw, m) for raw, m in _hard_words(chosen.where("toxic = 1"), model) if m > highest]
         known = {c.tobytes() for c in train}
-        more = [c for c in (np.frombuffer(bytes.fromhex(h), np.uint8) for h in worst) if c.tobytes() not in known]
+        more = [(np.frombuffer(raw, np.uint8), sign) for found, sign in ((worst, -1.0), (telling, 1.0)) for raw, _ in found if raw not in known]
         if not more:
             break
-        train, y = train + more, np.concatenate([y, -np.ones(len(more))])
-        x = np.vstack([x, _kernel(more, base) @ root])
+        train, y = train + [c for c, _ in more], np.concatenate([y, [sign for _, sign in more]])
+        x = np.vstack([x, _kernel([c for c, _ in more], base) @ root])
         w, bias = _svm(x, y)
     model = ToxicityModel((root @ w) @ base, bias, 1.0, 0.0)
     scored = score(chosen.select("toxic", "text"), model, "text", ("toxic",)).select("toxic", "margin").toPandas()
@@ -319,9 +319,9 @@ def _margins(codes, starts, ends, model: ToxicityModel, floor: float):
 FLOOR = 0.0
 
 
-def _hard_words(clean: DataFrame, model: ToxicityModel, most: int = 500) -> list[str]:
-    """Codes (as hex) of the words of clean documents with the largest margins."""
-    frame = clean.select("text")
+def _hard_words(docs: DataFrame, model: ToxicityModel, most: int = 500) -> list[tuple[bytes, float]]:
+    """Codes and margins of the words of ``docs`` with the largest margins."""
+    frame = docs.select("text")
 
     def of(batches):
         for batch in batches:
@@ -333,7 +333,7 @@ def _hard_words(clean: DataFrame, model: ToxicityModel, most: int = 500) -> list
                 )
 
     found = frame.mapInArrow(of, "word string, margin double").groupBy("word").agg(F.max("margin").alias("margin"))
-    return [r["word"] for r in found.orderBy(F.desc("margin"), "word").limit(most).collect()]
+    return [(bytes.fromhex(r["word"]), r["margin"]) for r in found.orderBy(F.desc("margin"), "word").limit(most).collect()]
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -430,12 +430,26 @@ def test_toxicity_on_held_out_sentences(spark, insults):
     assert all(got[k] >= 0.5 for k in range(3)) and got[9] < 0.5 and got[10] < 0.5 and got[11] < 0.5
 
 
-@pytest.mark.xfail(strict=True, reason="open fault: a letter put into a word scores below 0.5")
 def test_toxicity_of_an_inserted_letter(spark, insults):
     frame = spark.createDataFrame([(0, "taremon lika Zoggxwug")], "doc_id long, text string")
     assert toxicity.score(frame, insults[2]).first()["score"] >= 0.5
 
 
+def test_toxicity_of_held_out_sentences_with_letters_put_in(spark, insults):
+    docs, marks, model = insults
+    rng = random.Random(8)
+
+    def spoilt(word):
+        k = rng.randrange(1, len(word)) if len(word) > 3 else 0
+        return word[:k] + rng.choice("abcdefghijklmnopqrstuvwxyz") + word[k:] if k else word
+
+    rows = docs.where("doc_id >= 400").join(marks, "doc_id").collect()
+    frame = spark.createDataFrame([(r["doc_id"], " ".join(map(spoilt, r["text"].split())), r["toxic"]) for r in rows], "doc_id long, text string, toxic int")
+    got = toxicity.score(frame, model, "text", ("doc_id", "toxic")).collect()
+    caught, wrong = ([r["score"] >= 0.5 for r in got if r["toxic"] == x] for x in (1, 0))
+    assert np.mean(caught) >= 0.8 and np.mean(wrong) <= 0.05, (np.mean(caught), np.mean(wrong))
+
+
 def test_toxicity_without_labels(spark, odd):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r["score"] for r in toxicity.score(odd, toxicity.fit(odd, none)).collect()} == {0.0}

@@ -7,7 +7,8 @@ import random
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,14 +77,31 @@ def scan_parquet(
     columns: Sequence[str] | None = None,
     pattern: str = "*.parquet",
     recursive: bool = True,
+    same_schema: bool = True,
 ) -> DataFrame:
     """A directory (searched below, unless ``recursive`` is off) or a list of
-    files as one table. Only ``columns`` are read when given."""
+    files as one table. Only ``columns`` are read when given.
+
+    With ``same_schema`` tasks read all footers and merge them: files whose types
+    disagree, or that have columns which the table's schema lacks, are an error. A file
+    that lacks a column of the table is read with nulls there.
+    """
+    paths = [source] if isinstance(source, str) else list(source)
     reader = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", pattern)
     try:
-        table = reader.parquet(*([source] if isinstance(source, str) else source))
+        table = reader.parquet(*paths)
     except AnalysisException as error:
         raise FileNotFoundError(f"{source}: nothing there that {pattern} names (parquet)") from error
+    if same_schema:
+        try:
+            merged = reader.option("mergeSchema", True).parquet(*paths).schema
+        except (Py4JJavaError, PySparkException) as error:
+            if "MERGE_SCHEMA" not in str(error):
+                raise
+            raise ValueError(f"{source}: the files disagree on the type of a column") from error
+        own, every = ({(f.name, f.dataType.simpleString()) for f in schema} for schema in (table.schema, merged))
+        if own != every:
+            raise ValueError(f"{source}: some files have other columns: {sorted(own ^ every)}")
     return table.select(*[quoted(c) for c in columns]) if columns else table
 
 

@@ -85,6 +85,20 @@ def test_csv_misfits_are_listed(spark, tmp_path):
     assert {(r.column, r.value) for r in plain} == {("i", "seven"), ("x", "NA")}
 
 
+def test_parquet_files_of_other_columns_or_types_are_refused(spark, tmp_path):
+    spark.range(3).selectExpr("id as x", "id as y").coalesce(1).write.parquet(str(tmp_path / "a"))
+    same = str(tmp_path / "a")
+    assert files.scan_parquet(spark, same).count() == 3
+    spark.range(3).selectExpr("id as x", "id as y", "id as z").coalesce(1).write.parquet(str(tmp_path / "b"))
+    listed = files.list_files(spark, str(tmp_path))
+    with pytest.raises(ValueError, match="other columns"):
+        files.scan_parquet(spark, sorted(listed))
+    assert files.scan_parquet(spark, sorted(listed), same_schema=False).count() == 6
+    spark.range(3).selectExpr("cast(id as string) as x", "id as y").coalesce(1).write.parquet(str(tmp_path / "c" / "d"))
+    with pytest.raises(ValueError):
+        files.scan_parquet(spark, [f for f in files.list_files(spark, str(tmp_path)) if "/b/" not in f])
+
+
 def test_scan_reads_only_empty_fields_as_missing(spark, tmp_path):
     _write(tmp_path / "a.csv", "s\nNA\nNone\n\"\"\nx\n")
     assert sorted(r.s or "" for r in files.scan_csv(spark, str(tmp_path)).collect()) == ["", "NA", "None", "x"]

@@ -8,7 +8,8 @@ message whose own passage it quotes at the lowest level; where that message is
 missing, the next level's original takes its place.
 
 Everything is DataFrame functions. Passages that thousands of messages share are
-reduced to their earliest message before the join.
+reduced to their earliest message before the join, and those that thousands quote are
+joined without a shuffle.
 """
 
 from __future__ import annotations
@@ -20,6 +21,9 @@ from gristmill.llm.storage import written
 
 #: Normalised passages shorter than this many characters link nothing.
 MIN_CHARS = 8
+#: A join treats at most so many keys as hot, each with more than MIN_HOT rows.
+HOT_KEYS = 1000
+MIN_HOT = 100
 #: A line that announces a quote: one of these words and a colon at its end.
 ANNOUNCE = r"(?m)^[^\n>]{0,200}\b(?:wrote|schrieb|écrit|escribió)[^\n]{0,20}:[ \t]*\n(?=>)"
 _BLOCK = r"(?m)^(>+)(?!>)[^\n]*+(?:\n\1(?!>)[^\n]*+)*+"
@@ -47,7 +51,7 @@ def _passages(text: Column) -> Column:
     whole = F.array(text)
     every = F.array_distinct(F.transform(F.when(F.size(parts) > 1, F.concat(whole, parts)).otherwise(whole), normalised))
     long = F.filter(every, lambda p: F.length(p) >= MIN_CHARS)
-    return F.transform(long, lambda p: F.struct(F.sha2(p, 256).alias("hash"), F.length(p).alias("chars")))
+    return F.transform(long, lambda p: F.struct(F.unhex(F.sha2(p, 256)).alias("hash"), F.length(p).alias("chars")))
 
 
 def _blocks(text: Column) -> Column:
@@ -60,25 +64,43 @@ def _blocks(text: Column) -> Column:
     )
 
 
+def _with_one(many: DataFrame, ones: DataFrame, key: str, how: str) -> DataFrame:
+    """Written ``many`` joined with written ``ones``, which has a row per key at most.
+
+    A key with more than a share of 1 / HOT_KEYS of the rows is hot; there are fewer than
+    HOT_KEYS of those, whatever the size of the table, so their rows of ``ones`` are
+    broadcast and the rows of ``many`` stay where they are. All others are shuffled."""
+    least = many.count() // HOT_KEYS + MIN_HOT
+    hot = written(many.groupBy(key).count().where(F.col("count") > least).select(key), "hot")
+    if hot.isEmpty():
+        return many.join(ones, key, how)
+    few = F.broadcast(written(ones.join(F.broadcast(hot), key, "left_semi"), "hot_ones"))
+    common = many.join(F.broadcast(hot), key, "left_semi").join(few, key, how)
+    others = many.join(F.broadcast(hot), key, "left_anti").join(ones, key, how)
+    return common.unionByName(others)
+
+
 def parents(messages: DataFrame, key: str, text: str = "text", order: str | None = None) -> DataFrame:
     """(``key``, parent): each message's original, null without one. ``order`` tells
     which messages came before (default: the key); originals precede their quotes."""
     frame = messages.where(F.col(key).isNotNull()).select(
         F.col(key).alias("id"), F.col(order or key).alias("at"), F.col(text).alias("text")
     )
-    firsts = (
+    firsts = written(
         frame.select("id", "at", F.explode(_passages(own_words(F.col("text")))).alias("p"))
         .groupBy("p.hash")
-        .agg(F.min(F.struct("at", "id")).alias("first"))
+        .agg(F.min(F.struct("at", "id")).alias("first")),
+        "originals",
     )
-    quoted = (
+    quoted = written(
         frame.where(F.col("text").contains(">"))
         .select("id", "at", F.explode(_blocks(F.col("text"))).alias("b"))
         .select("id", "at", "b.level", F.explode(_passages(F.col("b.text"))).alias("p"))
-        .select("id", "at", "level", "p.hash", "p.chars")
+        .select("id", "at", "level", "p.hash", "p.chars"),
+        "quoted",
     )
     found = (
-        quoted.join(firsts, "hash")
+        _with_one(quoted, firsts, "hash", "inner")
         .where(F.struct("first.at", "first.id") < F.struct("at", "id"))
         .groupBy("id")
         .agg(F.min(F.struct("level", (-F.col("chars")).alias("short"), "first")).alias("best"))
@@ -95,7 +117,7 @@ def roots(links: DataFrame, key: str) -> DataFrame:
     top = links.where("parent is null").select("id", F.col("id").alias("root"), F.lit(0).cast("bigint").alias("depth"))
     # a parent that is not among the messages ends the way as well
     step = links.where("parent is not null")
-    ends = step.join(links.select(F.col("id").alias("parent"), F.col("parent").alias("next")), "parent", "left")
+    ends = _with_one(step, links.select(F.col("id").alias("parent"), F.col("parent").alias("next")), "parent", "left")
     state = ends.select("id", F.col("parent").alias("up"), F.lit(1).cast("bigint").alias("depth"), F.col("next").isNull().alias("done"))
     state = written(state, "ways")
     done = [top, state.where("done").select("id", F.col("up").alias("root"), "depth")]

@@ -162,6 +162,20 @@ def test_long_blanks_do_not_hold_up_the_own_words(spark):
     assert got == [2 + len(blank), 0, 399_999]
 
 
+def test_a_passage_quoted_by_most_messages_is_not_shuffled(spark):
+    first, never = "Good morning to all of you", "Nobody ever wrote this line"
+    rows = [(0, first), *((k, f"> {first if k % 3 else never}\nanswer number {k}") for k in range(1, 900))]
+    rows += [(1000 + k, f"> answer number {k}\nthanks for number {k}") for k in range(1, 400)]
+    frame = spark.createDataFrame(rows, "id long, text string")
+    links = quotes.parents(frame, "id")
+    got = {r["id"]: r["parent"] for r in links.collect()}
+    assert all(got[k] == (0 if k % 3 else None) for k in range(1, 900)) and got[0] is None
+    assert all(got[1000 + k] == k for k in range(1, 400)) and len(got) == len(rows)
+    assert plan_of(links).count("BroadcastHashJoin") >= 3
+    ways = {r["id"]: (r["root"], r["depth"]) for r in quotes.roots(links, "id").collect()}
+    assert ways[1] == (0, 1) and ways[1001] == (0, 2) and ways[3] == (3, 0) and ways[1003] == (3, 1) and len(ways) == len(rows)
+
+
 # 9 languages
 
 

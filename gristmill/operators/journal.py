@@ -160,6 +160,20 @@ def already_stored(incoming: DataFrame, journal: DataFrame) -> DataFrame:
     return incoming.join(known, ["task_id", "submission_id"], "left_semi")
 
 
+def warnings(records: DataFrame, stored: DataFrame) -> DataFrame:
+    """``records`` with ``warnings``: texts on an id that the task holds already, or that
+    comes more than once among the records, and on a sound record without a metric.
+
+    Ids are made distinct on either side before the join; whoever has none of the two
+    faults has an empty array."""
+    keys = ["task_id", "submission_id"]
+    repeated = records.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select(*keys)
+    known = stored.select(*keys).unionByName(repeated).distinct().withColumn("_again", F.lit(True))
+    again = F.when(F.col("_again"), F.concat(F.lit("submission_id '"), "submission_id", F.lit("' is stored more than once")))
+    bare = F.when(~F.col("is_bug") & F.col("metric").isNull(), F.lit("a sound record has no metric"))
+    return records.join(known, keys, "left").withColumn("warnings", F.array_compact(F.array(again, bare))).drop("_again")
+
+
 def missing_metric(journal: DataFrame) -> DataFrame:
     """Sound records that carry no metric and so cannot be compared."""
     return journal.where(~F.coalesce("is_bug", F.lit(True)) & F.col("metric").isNull())

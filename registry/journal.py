@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from gristmill import scratch_path
 from gristmill.operators import journal as ops
+from gristmill.plans import submission
 from gristmill.sources import files, sinks
 from registry.tables import ALL, table, union_sql
 
@@ -128,6 +129,22 @@ def journal_normalize(spark, d):
     return kept.unionByName(bad.select("submission_id", *empty, "problem"))
 
 
+def journal_submit(spark, d):
+    """Two submissions to one journal: the views first, then all events, some of them
+    without a metric; each answer with the number of records stored in the end."""
+    path = scratch_path(spark, "journal")
+    raw = _messy(spark, d)
+    number = F.regexp_extract("submission_id", r"(\d+)$", 1).cast("bigint")
+    bare = raw.withColumn("metric", F.when(number % 31 != 0, F.col("metric")))
+    answers = [
+        submission.submit(part, path).withColumn("batch", F.lit(batch))
+        for batch, part in (("first", raw.where(F.col("summary") == "view")), ("second", bare))
+    ]
+    stored = sinks.journal_load(spark, path).groupBy("task_id", "submission_id").agg(F.count(F.lit(1)).alias("n_stored"))
+    told = reduce(DataFrame.unionByName, answers).withColumn("warnings", F.array_join("warnings", "; "))
+    return told.join(stored, ["task_id", "submission_id"], "left")
+
+
 def _repeated(spark, d):
     number = F.regexp_extract("submission_id", r"(\d+)$", 1).cast("bigint")
     return records(spark, d).withColumn("submission_id", F.concat(F.lit("sub_"), (number % 500).cast("string")))
@@ -138,8 +155,9 @@ def journal_duplicates(spark, d):
 
 
 def journal_already_stored(spark, d):
-    stored = ops.with_tag(_repeated(spark, d), "click")
-    incoming = ops.with_tag(_repeated(spark, d), "view")
+    # each record is on one of the sides
+    stored = ops.with_status(_repeated(spark, d), "success")
+    incoming = ops.with_status(_repeated(spark, d), "buggy")
     return ops.already_stored(incoming, stored).select("task_id", "submission_id", "timestamp")
 
 
@@ -194,6 +212,7 @@ QUERIES = {
     "history_topk_per_task": history_topk_per_task,
     "journal_to_json": journal_to_json,
     "journal_normalize": journal_normalize,
+    "journal_submit": journal_submit,
     "journal_duplicates": journal_duplicates,
     "journal_already_stored": journal_already_stored,
     "journal_missing_metric": journal_missing_metric,
@@ -266,11 +285,30 @@ SQL = {
                case when problem is null then event_id % 2 = 0 end as lower_is_better,
                case when problem is null then (case when event_id % 5 = 0 then '' else event_type end) end as tags, problem
         from judged""",
+    "journal_submit": f"""
+        with raw as (select event_id, event_type, 'sub_' || event_id as submission_id, lower({_WORD}) as word,
+                event_id % 19 <> 0 as number, event_id % 5 = 0 or event_id % 23 <> 0 as listed,
+                case when event_id % 29 = 0 then '../up' else 'task_' || user_id end as task_id from events),
+        parts as (select 'first' as batch, false as bare, * from raw where event_type = 'view'
+                  union all select 'second', event_id % 31 = 0, * from raw),
+        judged as (select *, case when word = 'maybe' then 'is_bug is not a boolean'
+            when not number and not bare then 'metric is not a number'
+            when not listed then 'tags is not a JSON array'
+            when event_id % 29 = 0 then 'task_id has other characters' end as problem,
+            word in ('true', '1', 'yes') as bug from parts),
+        kept as (select task_id, submission_id, count(*) as n_stored from judged where problem is null group by all),
+        early as (select distinct submission_id, true as again from judged where batch = 'first' and problem is null)
+        select batch, case when problem is null then 'ok' else 'error' end as status, task_id, submission_id, problem,
+            case when problem is not null then '' else concat_ws('; ',
+                case when batch = 'second' and again
+                    then 'submission_id ' || chr(39) || submission_id || chr(39) || ' is stored more than once' end,
+                case when not bug and bare then 'a sound record has no metric' end) end as warnings, n_stored
+        from judged left join kept using (task_id, submission_id) left join early using (submission_id)""",
     "journal_duplicates": f"""select task_id, submission_id, count(*) as records from ({_REPEATED}) group by 1, 2
         having count(*) > 1""",
     "journal_already_stored": f"""with j as ({_REPEATED}) select task_id, submission_id, timestamp from j
-        where list_contains(tags, 'view') and (task_id, submission_id) in
-          (select (task_id, submission_id) from j where list_contains(tags, 'click'))""",
+        where coalesce(is_bug, true) and (task_id, submission_id) in
+          (select (task_id, submission_id) from j where not coalesce(is_bug, true))""",
     "journal_missing_metric": f"""select task_id, submission_id from ({_RECORDS})
         where not coalesce(is_bug, true) and metric is null""",
     "journal_best": f"""select task_id, lower_is_better,

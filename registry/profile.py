@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions.scalars import clock_micros
-from gristmill.operators import categorical, cross, groups, numeric
+from gristmill.operators import categorical, cross, groups, numeric, sketches
 from gristmill.operators.counts import text_counts
 from gristmill.plans import profile
 from registry.scan import cross_sql, num_profile_sql, top_sql
@@ -143,8 +143,50 @@ def summarize(spark, d):
     return rounded(reduce(DataFrame.unionByName, parts), "number")
 
 
+def num_profile_isolated(spark, d):
+    """A profile of a view two of whose columns cannot be computed: they are listed."""
+    q = F.col("l_quantity")
+    broken = gaps(spark, d).select(
+        *GAPS_NUM,
+        (q / F.when(q == 13, 0).otherwise(1)).alias("divided"),
+        F.when(q == 13, F.lit("many")).otherwise("1").cast("int").alias("typed"),
+    )
+    done = profile.summarize(broken, isolate=True)
+    empty = {c: F.lit(None).cast(done.num.schema[c].dataType) for c in numeric.PROFILE_COLUMNS[1:]}
+    failed = done.errors.withColumns(empty)
+    return rounded(done.num.withColumn("problem", F.lit(None).cast("string")).unionByName(failed), *_FLOATS)
+
+
+#: Approximate quantiles lie between the exact ones this far aside in rank.
+_ASIDE = 0.01
+
+
+def num_profile_approx(spark, d):
+    """Sketches of 16 parts, merged: exact figures, and whether the others are near."""
+    lines = gaps(spark, d)
+    near = sketches.profile(sketches.sketch(lines, GAPS_NUM, F.pmod("l_orderkey", F.lit(16)).cast("string")))
+    sides = [
+        (f"{name}_{side}", min(max(p + step, 0.0), 1.0))
+        for p, name in zip(numeric.QUANTILES, numeric.QUANTILE_NAMES, strict=True)
+        for side, step in (("from", -_ASIDE), ("to", _ASIDE))
+    ]
+    bounds = numeric.quantiles(lines, GAPS_NUM, [p for _, p in sides], [n for n, _ in sides])
+    exact = numeric.base_stats(lines, GAPS_NUM).select("feature", F.col("nunique").alias("n_exact"))
+    # one row per column
+    both = near.join(F.broadcast(bounds), "feature").join(F.broadcast(exact), "feature")
+    held = [F.col(n).between(F.col(f"{n}_from"), F.col(f"{n}_to")) for n in numeric.QUANTILE_NAMES]
+    shown = both.select(
+        *["feature", "null_count", "null_ratio", "zero_count", "zero_ratio", "min", "max", "mean"],
+        reduce(lambda a, b: a & b, held).alias("quantiles_near"),
+        (F.abs(F.col("nunique") - F.col("n_exact")) <= 0.04 * F.col("n_exact")).alias("nunique_near"),
+    )
+    return rounded(shown, "null_ratio", "zero_ratio", "min", "max", "mean")
+
+
 QUERIES = {
     "num_profile": num_profile,
+    "num_profile_isolated": num_profile_isolated,
+    "num_profile_approx": num_profile_approx,
     "num_base_stats": num_base_stats,
     "num_quantiles": num_quantiles,
     "num_clipped_moments": num_clipped_moments,
@@ -169,8 +211,26 @@ _PAIR_ROWS = union_sql(
 _PAIR_COUNTS = f"""select pair, a, b, count(*) as n from ({_PAIR_ROWS})
     where a is not null and b is not null group by all"""
 
+_UNKNOWN = ", ".join(f'null as "{c}"' for c in numeric.PROFILE_COLUMNS[1:])
+_FAILED = " ".join(
+    f"""union all by name select '{name}' as feature, {_UNKNOWN}, '{problem}' as problem
+        from (select 1 from lineitem where l_quantity = 13 limit 1)"""
+    for name, problem in (("divided", "DIVIDE_BY_ZERO"), ("typed", "CAST_INVALID_INPUT"))
+)
+
 SQL = {
     "num_profile": num_profile_sql(GAPS_SQL, GAPS_NUM),
+    "num_profile_isolated": f"select *, null::varchar as problem from ({num_profile_sql(GAPS_SQL, GAPS_NUM)}) {_FAILED}",
+    "num_profile_approx": union_sql(
+        [
+            f"""select '{c}' as feature, count(*) - count({c}) as null_count,
+            round((count(*) - count({c})) / count(*), 4) as null_ratio, count(*) filter (where {c} = 0) as zero_count,
+            round(count(*) filter (where {c} = 0) / count(*), 4) as zero_ratio, round(min({c})::double, 4) as min,
+            round(max({c})::double, 4) as max, round(avg({c}::double), 4) as mean, true as quantiles_near,
+            true as nunique_near from ({GAPS_SQL})"""
+            for c in GAPS_NUM
+        ]
+    ),
     "num_base_stats": _only("null_count", "nunique", "min", "max", "zero_count", "median"),
     "num_quantiles": _only(*[f'"{n}"' for n in numeric.QUANTILE_NAMES]),
     "num_clipped_moments": _only("mean", "std"),

@@ -1,4 +1,9 @@
-"""A corpus pipeline of five of the operators: what each stage keeps is the next one's input."""
+"""A corpus pipeline of five of the operators: what each stage keeps is the next one's input.
+
+Rows are told apart by doc_id and text, either of which may be null. No stage but the
+second drops repeated rows, and none fails on an empty table, an empty or very long text,
+or columns beside those of ``documents``, which all stages but the last hand on.
+"""
 
 from __future__ import annotations
 
@@ -13,8 +18,9 @@ KEY = ["__doc", "__body"]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a key that tells rows of equal or null doc_id apart by their text."""
-    return docs.withColumns({"__doc": F.col("doc_id"), "__body": F.xxhash64(F.coalesce("text", F.lit("")))})
+    """``docs`` with a key that tells rows of equal or null doc_id apart by their text; a
+    null text counts as empty."""
+    return docs.withColumns({"__doc": F.col("doc_id"), "__body": F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))})
 
 
 def _same(a: DataFrame, b: DataFrame) -> Column:
@@ -22,7 +28,9 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble, fitted on the labelled ones, does not reject."""
+    """Documents that the rule ensemble, fitted on the labelled ones, does not reject: those
+    with a score of 0.3 or more. A null text is scored as an empty one. Without labels of
+    both kinds nothing is rejected."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality_classifier.fit(docs, labels.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
     scored = quality_classifier.score(docs, model)
@@ -41,7 +49,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
+    """Documents that contain no benchmark item; those without a text contain none. Of
+    repeated rows all go or all stay."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     keyed = _keyed(docs)
     found = decontaminate.contained_items(keyed.select(*KEY, "text"), items, KEY).select(*KEY).distinct()
@@ -49,7 +58,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with its secrets replaced and ``n_chars`` counted anew."""
+    """Every document, with each secret, or group of overlapping ones, replaced and, in
+    such documents, ``n_chars`` counted anew. Texts without a secret stay as they are,
+    null ones null."""
     scanned = secret_scan.scan(docs)
     text = secret_scan.redacted("text", "__secrets.spans")
     changed = scanned.withColumn("text", text)
@@ -60,7 +71,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and the digests of the encoded and decoded text."""
+    """doc_id and the digests of the encoded and decoded text, a row for each row; a null
+    text is encoded as an empty one."""
     vocabulary = bpe.read_vocabulary(public_tokenizers.path("word_bpe_49k.json"))
     return bpe.encode(docs, vocabulary, ["doc_id"])
 

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import csv
 import random
+import re
 from collections.abc import Sequence
+from fnmatch import fnmatchcase
 from functools import reduce
+from posixpath import normpath
+from urllib.parse import unquote
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
@@ -36,21 +40,56 @@ def _checked(file_type: str) -> str:
     return name
 
 
+def _listed(spark: SparkSession, directory: str, pattern: str, recursive: bool) -> list[str]:
+    reader = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", pattern)
+    # a listing only: the schema is given, so no file is opened
+    return reader.schema("value string").text(directory).inputFiles()
+
+
+def _matches(name: str, pattern: str) -> bool:
+    """Whether the glob ``pattern`` of a scan, which may hold ``{a,b}``, names ``name``."""
+    either = re.search(r"\{([^{}]*)\}", pattern)
+    if either:
+        head, tail = pattern[: either.start()], pattern[either.end() :]
+        return any(_matches(name, head + part + tail) for part in either[1].split(","))
+    return fnmatchcase(name, pattern.replace("[^", "[!"))
+
+
+def _tables(spark: SparkSession, directory: str, pattern: str, file_type: str) -> dict[str, list[str]]:
+    """The topmost folders ``*.<type>`` below ``directory`` that ``pattern`` names, and the
+    listed files of the type in each: a table that Spark wrote is a folder of part files,
+    whose own names the pattern does not know."""
+    ending = f"*.{file_type}"
+    if pattern == ending:
+        return {}  # every file below is found by its own name
+    top = normpath("/" + re.sub(r"^[\w.+-]+:/*", "", directory).strip("/"))
+    found: dict[str, list[str]] = {}
+    for file in _listed(spark, directory, ending, True):
+        head, _, below = unquote(file).partition(f"{top}/")
+        names = below.split("/")[:-1]
+        depth = next((i for i, n in enumerate(names, 1) if fnmatchcase(n, ending) and _matches(n, pattern)), 0)
+        if depth:
+            found.setdefault("/".join([f"{head}{top}", *names[:depth]]), []).append(file)
+    return found
+
+
 def list_files(
     spark: SparkSession, directory: str, file_type: str = "parquet", pattern: str | None = None, recursive: bool = True
 ) -> list[str]:
-    """Sorted paths of the matching files; an empty listing is an error."""
+    """Sorted paths of the matching files; an empty listing is an error. Where
+    ``recursive``, a folder ``*.<type>`` that ``pattern`` names stands for the files of the
+    type in it."""
     name = _checked(file_type)
     pattern = pattern or f"*.{name}"
-    reader = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", pattern)
     try:
-        # a listing only: the schema is given, so no file is opened
-        found = reader.schema("value string").text(directory).inputFiles()
+        found = set(_listed(spark, directory, pattern, recursive))
+        tables = _tables(spark, directory, pattern, name) if recursive else {}
     except AnalysisException as error:
         raise FileNotFoundError(f"{directory}: nothing there that {pattern} names ({name})") from error
+    found = sorted(found.union(*tables.values()))
     if not found:
         raise FileNotFoundError(f"{directory}: nothing there that {pattern} names ({name})")
-    return sorted(found)
+    return found
 
 
 def resolve_file_type(
@@ -80,15 +119,22 @@ def scan_parquet(
     same_schema: bool = True,
 ) -> DataFrame:
     """A directory (searched below, unless ``recursive`` is off) or a list of
-    files as one table. Only ``columns`` are read when given.
+    files as one table. Only ``columns`` are read when given. In the search, a
+    folder ``*.parquet`` that ``pattern`` names stands for all ``*.parquet`` files in it.
 
     With ``same_schema`` tasks read all footers and merge them: files whose types
     disagree, or that have columns which the table's schema lacks, are an error. A file
     that lacks a column of the table is read with nulls there.
     """
-    paths = [source] if isinstance(source, str) else list(source)
-    reader = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", pattern)
+    paths, names = [source] if isinstance(source, str) else list(source), pattern
     try:
+        tables = _tables(spark, source, pattern, "parquet") if isinstance(source, str) and recursive else {}
+        if tables:
+            files = [unquote(f) for f in _listed(spark, source, pattern, True)]
+            paths = [*tables, *[f for f in files if not f.startswith(tuple(f"{t}/" for t in tables))]]
+            paths = [re.sub(r"([][{}*?\\])", r"\\\1", p) for p in paths]  # as they are, not as globs
+            names = f"{{{pattern},*.parquet}}"
+        reader = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", names)
         table = reader.parquet(*paths)
     except AnalysisException as error:
         raise FileNotFoundError(f"{source}: nothing there that {pattern} names (parquet)") from error

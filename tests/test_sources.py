@@ -99,6 +99,29 @@ def test_parquet_files_of_other_columns_or_types_are_refused(spark, tmp_path):
         files.scan_parquet(spark, [f for f in files.list_files(spark, str(tmp_path)) if "/b/" not in f])
 
 
+def test_a_pattern_names_folders_of_part_files_as_well(spark, tmp_path):
+    spark.range(5).repartition(3).write.parquet(str(tmp_path / "one day" / "t.parquet"))
+    spark.range(5, 7).coalesce(1).write.parquet(str(tmp_path / "two" / "[x]" / "t.parquet" / "deep"))
+    spark.range(90).write.parquet(str(tmp_path / "one day" / "other.parquet"))
+    single = next((tmp_path / "one day" / "t.parquet").glob("*.parquet"))
+    (tmp_path / "three").mkdir()
+    (tmp_path / "three" / "t.parquet").write_bytes(single.read_bytes())
+    ids = [r.id for r in spark.read.parquet(str(single)).collect()]
+    root = str(tmp_path)
+    for pattern in ("t.parquet", "{t,u}.parquet", "[^op]*.parquet"):
+        got = files.scan_parquet(spark, root, ["id"], pattern)
+        assert sorted(r.id for r in got.collect()) == sorted([*range(7), *ids]), pattern
+    assert files.scan_parquet(spark, f"file:{root}//one day/./", pattern="t.parquet").count() == 5
+    assert files.scan_parquet(spark, root).count() == 97 + len(ids)
+    parts = len(list(tmp_path.glob("**/t.parquet/**/*.parquet")))
+    assert len(files.list_files(spark, root, pattern="t.parquet")) == parts + 1
+    with pytest.raises(FileNotFoundError):
+        files.scan_parquet(spark, root, pattern="u.parquet")
+    spark.range(3).selectExpr("cast(id as string) as id").write.parquet(str(tmp_path / "four" / "t.parquet"))
+    with pytest.raises(ValueError):
+        files.scan_parquet(spark, root, pattern="t.parquet")
+
+
 def test_scan_reads_only_empty_fields_as_missing(spark, tmp_path):
     _write(tmp_path / "a.csv", "s\nNA\nNone\n\"\"\nx\n")
     assert sorted(r.s or "" for r in files.scan_csv(spark, str(tmp_path)).collect()) == ["", "NA", "None", "x"]

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gristmill.functions.hashing import bucket_of
 from gristmill.operators import journal as journal_ops
 
 NUM, CAT, TOP, CROSS, MEDIANS = "num_features", "cat_features", "cat_top_values", "cross_cat_features", "group_medians"
@@ -95,33 +98,63 @@ def write_features_csv(train: DataFrame, test: DataFrame, directory: str) -> Non
         write_csv(table, f"{directory}/{name}")
 
 
-def _by_task(table: DataFrame) -> DataFrame:
-    """Rows of a task lie together, so that a task gets few files; rebalancing,
-    unlike a plain repartition, splits a task that holds most of the rows."""
-    return table.hint("rebalance", "task_id")
+#: A journal keeps its tasks in so many folders, by a stable bucket of the task.
+TASK_FOLDER, TASK_FOLDERS = "task_folder", 64
+
+
+def _by(table: DataFrame, folder: str) -> DataFrame:
+    """Rows of a folder lie together, so that a folder gets few files; rebalancing,
+    unlike a plain repartition, splits a folder that holds most of the rows."""
+    return table.hint("rebalance", folder)
 
 
 def journal_append(records: DataFrame, directory: str) -> None:
-    """Add records below their task's folder; earlier files are never rewritten."""
-    _by_task(records).write.mode("append").partitionBy("task_id").json(directory)
+    """Add records below their task's folder; earlier files are never rewritten.
+
+    A folder holds all tasks of a bucket, and the task stands in the line: the number of
+    files grows with the bytes written, not with the number of tasks."""
+    task = F.nullif(F.col("task_id").cast("string"), F.lit(""))
+    dealt = records.withColumn("task_id", task).withColumn(TASK_FOLDER, bucket_of(F.col("task_id"), TASK_FOLDERS))
+    _by(dealt, TASK_FOLDER).write.mode("append").partitionBy(TASK_FOLDER).json(directory)
 
 
-def journal_load(spark: SparkSession, directory: str) -> DataFrame:
-    """The whole journal; a missing folder is an empty one. Blank and malformed
-    lines are skipped. The task is read from the folder name, as text."""
+def _lines_below(spark: SparkSession, directory: str, folder: str) -> DataFrame | None:
+    """The lines in the folders ``folder=...``, read as text; None if there are no such folders."""
+    reader = spark.read.schema(f"value string, {folder} string").option("basePath", directory)
     try:
-        lines = spark.read.text(directory)
-    except AnalysisException:
-        return spark.createDataFrame([], journal_ops.RECORD)
-    if "task_id" not in lines.columns:
-        return journal_ops.parse_lines(lines)
-    tasked = spark.read.schema("value string, task_id string").text(directory)
-    parsed = journal_ops.parse_lines(tasked.withColumnRenamed("task_id", "folder"), keep=["folder"])
+        return reader.text(f"{directory.rstrip('/')}/{folder}=*")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def journal_load(spark: SparkSession, directory: str, task: str | None = None) -> DataFrame:
+    """The whole journal, or the records of ``task``, for which one folder is read; a missing
+    folder is an empty journal. Blank and malformed lines are skipped.
+
+    Journals with a folder ``task_id=...`` per task are read as well, also where folders of
+    buckets were added to them; the task comes from the folder name then, as text."""
+    single, dealt = (_lines_below(spark, directory, folder) for folder in ("task_id", TASK_FOLDER))
     fields = [f.name for f in journal_ops.RECORD if f.name != "task_id"]
-    return parsed.select(*fields, F.coalesce("task_id", "folder").alias("task_id"))
+    parts = []
+    if single is not None:
+        parsed = journal_ops.parse_lines(single.withColumnRenamed("task_id", "folder"), keep=["folder"])
+        parts.append(parsed.select(*fields, F.coalesce("task_id", "folder").alias("task_id")))
+    if dealt is not None:
+        if task is not None:
+            dealt = dealt.where(F.col(TASK_FOLDER) == bucket_of(F.lit(task), TASK_FOLDERS).cast("string"))
+        parts.append(journal_ops.parse_lines(dealt))
+    if not parts:
+        try:
+            parts = [journal_ops.parse_lines(spark.read.text(directory))]
+        except AnalysisException:
+            parts = [spark.createDataFrame([], journal_ops.RECORD)]
+    whole = reduce(DataFrame.unionByName, parts)
+    return whole if task is None else whole.where(F.col("task_id") == task)
 
 
 def write_journal_markdown(journal: DataFrame, directory: str) -> None:
     """Readable blocks as text, one folder per task."""
     blocks = journal_ops.markdown(journal).select("task_id", F.concat(F.lit("\n"), "block").alias("value"))
-    _by_task(blocks).write.mode("append").partitionBy("task_id").text(directory)
+    _by(blocks, "task_id").write.mode("append").partitionBy("task_id").text(directory)

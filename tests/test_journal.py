@@ -39,6 +39,34 @@ def test_numeric_task_ids_stay_text(spark):
     assert {r.task_id for r in sinks.journal_load(spark, path).collect()} == {"007", "10"}
 
 
+def test_folders_of_a_journal_do_not_grow_with_its_tasks(spark, tmp_path):
+    path = str(tmp_path / "journal")
+    tasks = [f"t{i}" for i in range(600)] + [None, "a/b c", "ü=1%2F", "007"]
+    for batch in "xy":
+        sinks.journal_append(_journal(spark, [{"submission_id": f"{batch}{i}", "task_id": t} for i, t in enumerate(tasks)]), path)
+    assert len(list((tmp_path / "journal").iterdir())) <= 67
+    got = sorted((r.task_id or "", r.submission_id) for r in sinks.journal_load(spark, path).collect())
+    assert got == sorted((t or "", f"{batch}{i}") for batch in "xy" for i, t in enumerate(tasks))
+    one = sinks.journal_load(spark, path, "a/b c")
+    assert sorted(r.submission_id for r in one.collect()) == ["x601", "y601"]
+    folders = {f.parent.name for f in (tmp_path / "journal").glob("*/*.json")}
+    assert len(folders) > 50 and "PartitionFilters: [isnotnull(task_folder" in one._jdf.queryExecution().toString()
+
+
+def test_a_journal_with_a_folder_per_task_is_read_and_added_to(spark):
+    path = scratch_path(spark, "journal")
+    tasks = ["007", "t", "a/b", None]
+    early = _journal(spark, [{"submission_id": f"old{i}", "task_id": t, "tags": ["x"]} for i, t in enumerate(tasks)])
+    early.write.partitionBy("task_id").json(path)
+    before = {(r.submission_id, r.task_id) for r in sinks.journal_load(spark, path).collect()}
+    assert before == {(f"old{i}", t) for i, t in enumerate(tasks)}
+    sinks.journal_append(_journal(spark, [{"submission_id": f"new{i}", "task_id": t} for i, t in enumerate(tasks)]), path)
+    got = sinks.journal_load(spark, path)
+    assert got.schema.names == FIELDS and got.count() == 8
+    assert {(r.submission_id, r.task_id) for r in got.collect()} == before | {(f"new{i}", t) for i, t in enumerate(tasks)}
+    assert {r.submission_id for r in sinks.journal_load(spark, path, "007").collect()} == {"old0", "new0"}
+
+
 def test_markdown_folders(spark):
     path = scratch_path(spark, "log")
     sinks.write_journal_markdown(_journal(spark, [{"submission_id": "s", "task_id": "t", "tags": ["x"]}]), path)

@@ -81,3 +81,14 @@ def test_without_failures_one_plan_runs(spark):
     calls = []
     done, failures = isolation.isolated(["a", "b", "c"], lambda part: calls.append(part) or (spark.range(1),))
     assert calls == [["a", "b", "c"]] and len(done) == 1 and not failures
+
+
+def test_submissions_of_many_tasks_write_few_folders(spark, tmp_path):
+    path = str(tmp_path / "journal")
+    rows = [_record(f"s{i}", task_id=f"t{i}") for i in range(400)]
+    for warned in (0, 1):
+        told = submission.submit(_raw(spark, *rows), path).collect()
+        assert len(told) == 400 and {len(r["warnings"]) for r in told} == {warned}
+    assert len(list((tmp_path / "journal").iterdir())) <= 66
+    stored = sinks.journal_load(spark, path).groupBy("task_id", "submission_id").count().collect()
+    assert {(r["task_id"], r["submission_id"], r["count"]) for r in stored} == {(f"t{i}", f"s{i}", 2) for i in range(400)}
